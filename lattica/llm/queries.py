@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tiff
-from .common import table
+from . import bpe, langid, quality, tiff
+from .common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,11 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.store_texts(table(spark, sf_dir, "documents"), width=576, compression=tiff.DEFLATE, predictor=2, rows_per_strip=64)
     found = tiff.pages(stored, keep=("doc_id", "n_bytes"))
@@ -36,5 +41,16 @@ def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op5_tiff_media": op5_tiff_media}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op2_bpe_codec": op2_bpe_codec,
+    "op3_language_id": op3_language_id,
+    "op5_tiff_media": op5_tiff_media,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 ORACLE_SQL: dict[str, str] = {}
