@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, tiff
+from . import bpe, langid, quality, simhash, substring, tiff
 from .common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,16 @@ def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out()))
@@ -51,6 +61,8 @@ QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_language_id": op3_language_id,
     "op5_tiff_media": op5_tiff_media,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
