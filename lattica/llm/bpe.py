@@ -15,15 +15,15 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from array import array
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_slices
 
-#: Pieces whose ids a worker remembers before it starts anew.
-PIECES = 300_000
+#: Pieces in each of the two generations whose ids a worker remembers.
+PIECES = 600_000
 #: How byte-level BPE splits a text into pieces, letters and digits left open.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
 
@@ -36,22 +36,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def splitter(tokenizer_path: str) -> regex.Pattern:
-    """The split pattern under the Unicode version of the installed tokenizers library, which may lag behind that of
-    the regex module: characters the standard library doesn't know either are asked one by one."""
+def splitters(tokenizer_path: str) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern | None]:
+    """The split pattern for usual texts, that for texts with doubtful characters, and a pattern that finds these: the
+    installed tokenizers library may lag behind the regex module's Unicode version, so characters that the standard
+    library doesn't know as letters or digits either are asked one by one."""
     from tokenizers import Tokenizer
 
     split = Tokenizer.from_file(tokenizer_path).pre_tokenizer.pre_tokenize_str
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    out = {}
+    plain = regex.compile(SPLIT.format(L=r"\p{L}", N=r"\p{N}", O=r"[^\s\p{L}\p{N}]"))
+    both = []
     for kind, lead in (("L", "a"), ("N", "1")):
         doubtful = [c for c in regex.findall(rf"\p{{{kind}}}", every) if unicodedata.category(c)[0] != kind]
-        out[kind] = [ord(c) for c in doubtful if len(split(lead + c)) > 1]
-    both = out["L"] + out["N"]
+        both += [ord(c) for c in doubtful if len(split(lead + c)) > 1]
+    if not both:
+        return plain, plain, None
     cut = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(sorted(both)))
-    if not cut:
-        return regex.compile(SPLIT.format(L=r"\p{L}", N=r"\p{N}", O=r"[^\s\p{L}\p{N}]"))
-    return regex.compile(SPLIT.format(L=rf"(?:\p{{L}}(?<![{cut}]))", N=rf"(?:\p{{N}}(?<![{cut}]))", O=rf"(?:[^\s\p{{L}}\p{{N}}]|[{cut}])"))
+    careful = SPLIT.format(L=rf"(?:\p{{L}}(?<![{cut}]))", N=rf"(?:\p{{N}}(?<![{cut}]))", O=rf"(?:[^\s\p{{L}}\p{{N}}]|[{cut}])")
+    return plain, regex.compile(careful), regex.compile(f"[{cut}]")
 
 
 def _ranges(points: list[int]) -> list[tuple[int, int]]:
@@ -79,85 +81,101 @@ class Vocabulary:
             self.first[b] = ids[c]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        self.digits = [str(i) for i in range(1 + max(self.bytes_of))].__getitem__
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
-        self.split = splitter(path)
-        self.known: dict[str, list[int]] = {}
+        self.plain, self.split, self.doubtful = splitters(path)
+        #: Ids of the pieces seen lately, and of those seen before them.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     # -- encoding -----------------------------------------------------------------------------------------------
 
-    def merge(self, pieces: list[str]) -> list[list[int]]:
+    def merge(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of each piece: one pair occurrence index over all of them."""
-        symbols, following, preceding, starts = array("q"), array("q"), array("q"), []
-        where: dict[tuple[int, int], list[int]] = {}
         ranks, first = self.ranks, self.first
-        for piece in pieces:
-            starts.append(at := len(symbols))
-            raw = piece.encode()
-            for k, b in enumerate(raw):
-                symbols.append(first[b])
-                preceding.append(at + k - 1 if k else -1)
-                following.append(at + k + 1 if k + 1 < len(raw) else -1)
-            for k in range(at, at + len(raw) - 1):
-                if (pair := (symbols[k], symbols[k + 1])) in ranks:
-                    where.setdefault(pair, []).append(k)
+        raw = [p.encode() for p in pieces]
+        symbols = [first[b] for r in raw for b in r]
+        n = len(symbols)
+        following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
+        starts, at = [], 0
+        for r in raw:
+            starts.append(at)
+            preceding[at] = -1
+            at += len(r)
+            following[at - 1] = -1
+        where: dict[tuple[int, int], list[int]] = {}
+        for k, pair in enumerate(zip(symbols, symbols[1:])):
+            if following[k] >= 0:
+                if pair in where:
+                    where[pair].append(k)
+                elif pair in ranks:
+                    where[pair] = [k]
         active = [(*ranks[p], p) for p in where]
         heapq.heapify(active)
         while active:
             _, made, pair = heapq.heappop(active)
             left, right = pair
-            for k in sorted(where.pop(pair)):
-                n = following[k]
-                if symbols[k] != left or n < 0 or symbols[n] != right:
+            spots = where.pop(pair)
+            spots.sort()
+            new: dict[tuple[int, int], list[int]] = {}
+            for k in spots:
+                m = following[k]
+                if symbols[k] != left or m < 0 or symbols[m] != right:
                     continue  # an earlier merge took one of the two
-                symbols[k], symbols[n] = made, -1
-                following[k] = after = following[n]
+                symbols[k], symbols[m] = made, -1
+                following[k] = after = following[m]
                 if after >= 0:
                     preceding[after] = k
-                    self._occurs((made, symbols[after]), k, where, active)
+                    new.setdefault((made, symbols[after]), []).append(k)
                 if (before := preceding[k]) >= 0:
-                    self._occurs((symbols[before], made), before, where, active)
+                    new.setdefault((symbols[before], made), []).append(before)
+            for made_pair, more in new.items():
+                if made_pair in where:
+                    where[made_pair] += more
+                elif made_pair in ranks:
+                    where[made_pair] = more
+                    heapq.heappush(active, (*ranks[made_pair], made_pair))
         out = []
         for at in starts:
-            ids = []
-            while at >= 0:
+            ids = [symbols[at]]
+            while (at := following[at]) >= 0:
                 ids.append(symbols[at])
-                at = following[at]
-            out.append(ids)
+            out.append(tuple(ids))
         return out
 
-    def _occurs(self, pair: tuple[int, int], k: int, where: dict, active: list) -> None:
-        if pair in where:
-            where[pair].append(k)
-        elif pair in self.ranks:
-            where[pair] = [k]
-            heapq.heappush(active, (*self.ranks[pair], pair))
-
     def pieces(self, text: str) -> list[str]:
-        if self.added_split is None or not self.added_split.search(text):
-            return self.split.findall(text)
+        split = self.plain if text.isascii() or self.doubtful is None or not self.doubtful.search(text) else self.split
+        if not any(t in text for t in self.added):
+            return split.findall(text)
         out: list[str] = []
         for k, part in enumerate(self.added_split.split(text)):
-            out += [part] if k % 2 else self.split.findall(part)
+            out += [part] if k % 2 else split.findall(part)
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text, as the tokenizers library gives them with add_special_tokens=False."""
         if len(self.known) > PIECES:
-            self.known.clear()
-        known, split = self.known, [self.pieces(t or "") for t in texts]
+            self.known, self.before = {}, self.known
+        known, before, split = self.known, self.before, [self.pieces(t or "") for t in texts]
         for t, i in self.added.items():
-            known[t] = [i]
-        new = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in known]
+            known[t] = (i,)
+        missing = set().union(*split).difference(known)
+        known.update((p, before[p]) for p in missing if p in before)
+        new = sorted(missing.difference(before))
         known.update(zip(new, self.merge(new), strict=True))
-        return [[i for p in ps for i in known[p]] for ps in split]
+        return [list(chain.from_iterable(map(known.__getitem__, ps))) for ps in split]
 
     # -- decoding -----------------------------------------------------------------------------------------------
 
     def decode(self, ids: list[int]) -> str:
         """Special tokens stay; bytes that are no UTF-8 become U+FFFD; unknown ids are left out."""
         got = self.bytes_of
-        return b"".join([got[i] for i in ids if i in got]).decode("utf-8", "replace")
+        try:
+            raw = b"".join(map(got.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([got[i] for i in ids if i in got])
+        return raw.decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -196,7 +214,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
         return {
             key: rows[key],
             "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+            "ids_sha256": [hashlib.sha256(",".join(map(v.digits, x)).encode()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids],
         }
 
