@@ -204,6 +204,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
     return map_slices(df, f"`{key}` {kind}, text string", work, [key, ids])
 
 
+def encode_checked(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids, same) for every row; same: the ids decode to the text."""
+    kind = dict(df.dtypes)[key]
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        v = vocabulary(path)
+        ids = v.encode(rows[text])
+        return {key: rows[key], "n_tokens": [len(x) for x in ids], "ids": ids, "same": [v.decode(x) == (t or "") for x, t in zip(ids, rows[text], strict=True)]}
+
+    return map_slices(df, f"`{key}` {kind}, n_tokens long, ids array<int>, same boolean", work, [key, text])
+
+
 def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): both directions in one pass, so that ids don't leave the worker."""
     kind = dict(df.dtypes)[key]

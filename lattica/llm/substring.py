@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Hashes, words_of
 
@@ -208,13 +209,14 @@ def _to_documents(held: list[tuple[np.ndarray, np.ndarray]], boxes: int) -> pa.R
     return _parcels(h[order], doc[order], doc[order] % boxes)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
     """(key, n_words, n_removed, removed, kept) for every row: removed holds the starts and ends, in words, of the
-    maximal repeats that go; kept is what stays, words joined by one space."""
+    maximal repeats that go; kept is what stays, words joined by one space. ``row``: beside them the whole row of
+    ``df``, as a struct column."""
     spark = df.sparkSession
     boxes = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    found = repeats(docs, boxes)
+    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.struct("*").alias("row")] * row)
+    found = repeats(docs.select("key", "text"), boxes)
     kinds = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept", pa.string())])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -230,11 +232,13 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                     spans, kept = _without(words, h[s:e])
                 for c, v in zip(out, (k, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
                     out[c].append(v)
-        return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+        made = pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+        return made.append_column("row", left.column("row")) if row else made
 
     box = F.coalesce(F.pmod(F.col("key"), F.lit(boxes)), F.lit(0)).cast("int")
     both = docs.withColumn("box", box).groupBy("box").cogroup(found.groupBy("box"))
-    got = both.applyInArrow(cut, "key long, n_words long, n_removed long, removed array<int>, kept string")
+    schema = T.StructType.fromDDL("key long, n_words long, n_removed long, removed array<int>, kept string")
+    got = both.applyInArrow(cut, schema.add("row", df.schema) if row else schema)
     return got.withColumnRenamed("key", key)
 
 
