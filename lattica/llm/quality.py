@@ -1,8 +1,8 @@
 """Quality scores: random-indexing word vectors pooled per document, then a two-layer network.
 
-Every token, a run of letters, of digits or of other signs, has an entry for itself and one for its shape, both by
-hash. Each entry has a fixed sparse random index vector; the vector of an entry is the sum of the index vectors of the
-tokens around all its occurrences in all documents. A document is the mean of the unit vectors of its tokens, and of
+Every word, a run of anything but ASCII white space, has an entry for itself (in lower case, without signs at its ends)
+and one for its shape, both by hash. Each entry has a fixed sparse random index vector; the vector of an entry is the
+sum of the index vectors of the entries of its kind around all its occurrences in all documents. A document is the mean of the unit vectors of its words, and of
 their shapes. The network learns on a bounded sample of labelled rows; a temperature fitted on rows it didn't learn
 from calibrates its probabilities.
 
@@ -13,16 +13,16 @@ looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, map_slices
+from .common import Hashes, map_slices, words_of
 
 #: Entries for tokens and for shapes, numbers in a vector, signs set in an index vector, tokens to either side.
 TOKENS, SHAPES, SIZE, SIGNS, REACH = 1 << 14, 1 << 11, 64, 2, 2
@@ -32,34 +32,30 @@ LABELLED_ROWS = 5000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-3
 #: Rows of the table of vectors that travel together.
 CHUNK = ENTRIES // 64
-TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
-#: Tokens handled at a time, which bounds memory for very long texts.
+#: Words handled at a time, which bounds memory for very long texts.
 STRETCH = 1 << 17
+#: Signs cut from the ends of words; what stands for a capital, a small letter (or any other byte above 127), a digit.
+SIGNS_AT_ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+KINDS = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c > 127 else 57 if 48 <= c <= 57 else c for c in range(256))
+REPEATED = re.compile(rb"(.)\1{2,}", re.DOTALL)
 
 
-def shape_of(token: str) -> str:
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:40])
-    return regex.sub(r"(.)\1{2,}", r"\1\1+", out)
+def shape_of(word: bytes) -> bytes:
+    return REPEATED.sub(rb"\1\1+", word[:64].translate(KINDS))
 
 
-class Entries(Hashes):
-    """Token to its two entries as one number; tokens are forgotten when too many are known."""
+def entries_of(word: bytes) -> int:
+    """Both entries of a word in one number."""
+    at = zlib.crc32(word.lower().strip(SIGNS_AT_ENDS) or word) % TOKENS
+    return at << 32 | TOKENS + zlib.crc32(shape_of(word)) % SHAPES
 
-    def __init__(self) -> None:
-        super().__init__(self._of)
 
-    @staticmethod
-    def _of(token: str) -> int:
-        at = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % TOKENS
-        return at << 32 | TOKENS + zlib.crc32(shape_of(token).encode("utf-8", "surrogatepass")) % SHAPES
-
-
-_known = Entries()
+_known = Hashes(entries_of)
 
 
 def entries(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The token entry and the shape entry of each token."""
-    both = _known.array(TOKEN.findall(text)) if text else np.zeros(0, np.uint64)
+    """The word entry and the shape entry of each word."""
+    both = _known.array(words_of(text))
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -75,11 +71,11 @@ def contexts(tokens: np.ndarray, shapes: np.ndarray, doc: np.ndarray, places: np
     for step in range(1, REACH + 1):
         same = np.flatnonzero(doc[step:] == doc[:-step])
         for here, there in ((same, same + step), (same + step, same)):
-            for own in (tokens, shapes):
-                for near in (tokens, shapes):
-                    for k in range(SIGNS):
-                        flat.append(own[here] * SIZE + places[near[there], k])
-                        weight.append(signs[near[there], k])
+            for kind in (tokens, shapes):
+                own, near = kind[here] * SIZE, kind[there]
+                for k in range(SIGNS):
+                    flat.append(own + places[near, k])
+                    weight.append(signs[near, k])
     if flat:
         total += np.bincount(np.concatenate(flat), np.concatenate(weight), minlength=total.size)
 
@@ -218,3 +214,21 @@ def score(df: DataFrame, model: tuple[np.ndarray, Network | None], text: str = "
         return {key: rows[key], "score": net.score(np.array([pooled(t, vectors) for t in rows[text]])).tolist()}
 
     return map_slices(df, f"`{key}` {kind}, score double", work, [key, text])
+
+
+def keep_good(df: DataFrame, model: tuple[np.ndarray, Network | None], least: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is ``least`` or more, all their columns; everything stays if nothing was learned."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                if net is not None:
+                    x = np.array([pooled(t, vectors) for t in part.column(at).to_pylist()])
+                    part = part.filter(pa.array(net.score(x) >= least))
+                yield part
+
+    return df.mapInArrow(run, df.schema)
