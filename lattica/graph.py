@@ -3,8 +3,9 @@ new one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,30 @@ def label_set(labels: Iterable[str]) -> LabelSet:
     return tuple(sorted(set(labels)))
 
 
+class Tables(Mapping):
+    """Tables by key that are opened when they are first asked for."""
+
+    def __init__(self, openers: Mapping[Any, Callable[[], DataFrame]]) -> None:
+        self._openers, self._open = dict(openers), {}
+
+    def __getitem__(self, key: Any) -> DataFrame:
+        if key not in self._open:
+            self._open[key] = self._openers[key]()
+        return self._open[key]
+
+    def __iter__(self) -> Iterator:
+        return iter(self._openers)
+
+    def __len__(self) -> int:
+        return len(self._openers)
+
+    def __contains__(self, key: object) -> bool:
+        return key in self._openers
+
+    def only(self, keep: Callable[[Any], bool]) -> Tables:
+        return Tables({k: (lambda k=k: self[k]) for k in self._openers if keep(k)})
+
+
 @dataclass(frozen=True)
 class Constraint:
     label: str
@@ -40,10 +65,10 @@ class PropertyGraph:
     side too, as src$<property> or dst$<property>; a hop that arrives there then needs no join either."""
 
     spark: SparkSession
-    nodes: dict[LabelSet, DataFrame] = field(default_factory=dict)
-    edges: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: Mapping[LabelSet, DataFrame] = field(default_factory=dict)
+    edges: Mapping[str, DataFrame] = field(default_factory=dict)
     ends: dict[str, tuple[LabelSet, LabelSet]] = field(default_factory=dict)
-    carried: dict[tuple[str, str, LabelSet], DataFrame] = field(default_factory=dict)
+    carried: Mapping[tuple[str, str, LabelSet], DataFrame] = field(default_factory=dict)
     constraints: tuple[Constraint, ...] = ()
     next_node: int = 0
     next_edge: int = 0

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import NotImplementedFeature, QueryRuntimeError, SemanticError
 from ..functions.typed import Typed, is_rel, truth
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, Tables
 from ..lineage import materialise
 from ..plans import syntax as s
 from .expressions import Scope, condition, lower, names_in
@@ -155,21 +155,22 @@ class Matcher:
         new = self.with_properties(new, name, p.properties)
         return self.arrive(new, leave, p, q, far, backwards), name
 
-    def held(self, p: s.RelPattern, q: s.NodePattern, backwards: bool) -> DataFrame | None:
-        """The table that holds the edges together with the nodes behind them, if there is one."""
+    def held(self, p: s.RelPattern, q: s.NodePattern, backwards: bool) -> tuple | None:
+        """The key of the table that holds the edges together with the nodes behind them, if there is one."""
         sets = self.graph.label_sets(q.labels)
         if len(p.types) != 1 or p.direction == "both" or p.variable_length:
             return None
         known = self.end_sets(p, backwards)
         sets = [x for x in sets if known is None or x in known]
         side = "src" if (p.direction == "in") != backwards else "dst"
-        return self.graph.carried.get((p.types[0], side, sets[0])) if len(sets) == 1 else None
+        key = (p.types[0], side, sets[0]) if len(sets) == 1 else None
+        return key if key in self.graph.carried else None
 
-    def hop_held(self, frame: Frame, held: DataFrame, p: s.RelPattern, near: str, q: s.NodePattern, far: str, backwards: bool, name: str) -> Frame:
-        side = "src" if (p.direction == "in") != backwards else "dst"
+    def hop_held(self, frame: Frame, key: tuple, p: s.RelPattern, near: str, q: s.NodePattern, far: str, backwards: bool, name: str) -> Frame:
+        _, side, labels = key
+        held = self.graph.carried[key]
         own = [c for c in held.columns if "$" not in c]
         r, n = f"{name}@{self.names.fresh('')}", f"{far}@{self.names.fresh('')}"
-        labels = next(k[2] for k, v in self.graph.carried.items() if v is held)
         rel = Entity("rel", r, tuple((f, held.schema[f].dataType) for f in own) + (("_type", T.StringType()),))
         fields = [c for c in held.columns if c.startswith(f"{side}$")]
         node = Entity("node", n, (("_id", T.LongType()), ("_labels", T.ArrayType(T.StringType())), *((c.removeprefix(f"{side}$"), held.schema[c].dataType) for c in fields)))
@@ -202,7 +203,7 @@ class Matcher:
             return frame.bind(frame.df.withColumn(e.id, col(at)), **{far: e})
         graph = self.graph
         if sets is not None:
-            graph = PropertyGraph(graph.spark, {k: v for k, v in graph.nodes.items() if k in sets})
+            graph = PropertyGraph(graph.spark, Tables({k: (lambda k=k: self.graph.nodes[k]) for k in graph.nodes if k in sets}))
         df, e = entity_frame(graph.node_table(q.labels), "node", f"{far}@{self.names.fresh('')}")
         out = frame.bind(frame.df.join(df, col(at) == col(e.id)), **{far: e})
         return self.with_properties(out, far, q.properties)

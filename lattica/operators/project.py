@@ -228,6 +228,11 @@ def grouped(m: Matcher, frame: Frame, exprs: list[s.Node], keys: list[str], name
 
 def unwind(m: Matcher, frame: Frame, e: s.Unwind) -> Frame:
     """A row for each element; none for null and for the empty list."""
+    if isinstance(e.value, s.Parameter) and isinstance(table := m.params.get(e.value.name), DataFrame):
+        column = f"{e.name}@{m.names.fresh('')}"  # a parameter can be a table: rows are maps
+        rows = table.select(F.struct("*").alias(column))
+        df = rows if frame.unit else frame.df.crossJoin(rows)
+        return frame.bind(df, **{e.name: Value(column, rows.schema[column].dataType)})
     frame, replaced = m.attach(frame, e.value)
     x = lower(e.value, m.scope(frame, replaced))
     column = f"{e.name}@{m.names.fresh('')}"

@@ -511,7 +511,7 @@ class Parser:
             self.need(")")
             return s.Reduce(total, start, name, source, body)
         if call:
-            name = self.name("a function", free=low not in RESERVED or low in ("left", "right"))
+            name = self.name("a function", free=low == "contains")
             self.need("(")
             distinct = self.word("distinct")
             if self.op("*"):

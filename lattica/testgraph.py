@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import PropertyGraph
+from .graph import PropertyGraph, Tables
 
 #: Labels in the order of their codes.
 LABELS = ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "Event", "Turn", "Document", "Label")
@@ -20,8 +20,15 @@ def node_id(label: str, key: str | Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    turn_key = F.col("conv_id") * 1024 + F.col("turn")
+    """The graph of a folder; its tables are opened when a query needs them."""
+    opened: dict[str, DataFrame] = {}
+
+    def read(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
+    turn_key = lambda turn="turn": F.col("conv_id") * 1024 + F.col(turn)
     keys = {
         "Region": ("region", "r_regionkey"),
         "Nation": ("nation", "n_nationkey"),
@@ -30,37 +37,46 @@ def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         "Part": ("part", "p_partkey"),
         "Order": ("orders", "o_orderkey"),
         "Event": ("events", "event_id"),
-        "Turn": ("conversations", turn_key),
+        "Turn": ("conversations", None),
         "Document": ("documents", "doc_id"),
         "Label": ("labels", "doc_id"),
     }
-    nodes = {label: read(table).select(node_id(label, key).alias("_id"), "*") for label, (table, key) in keys.items()}
-
-    def linked(table: str, a: str, a_key: str | Column, b: str, b_key: str | Column, own: str | Column, *more: Column) -> DataFrame:
-        return read(table).select((own if isinstance(own, Column) else F.col(own)).cast("long").alias("_id"), node_id(a, a_key).alias("_src"), node_id(b, b_key).alias("_dst"), *more)
-
-    # lineitem has no key: lines of an order are counted in an order of all columns, under which ties are alike
-    lines = read("lineitem")
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in lines.columns if c != "l_orderkey"]))
-    lines = lines.withColumn("__id", F.col("l_orderkey") * 4096 + number)
-    more = [F.col(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate", "linenumber")]
-    line = lambda a, a_key, b, b_key: lines.select(F.col("__id").alias("_id"), node_id(a, a_key).alias("_src"), node_id(b, b_key).alias("_dst"), *more)
-    nation = read("nation")
-    from_nation = linked("customer", "Customer", "c_custkey", "Nation", "c_nationkey", F.col("c_custkey") * 2).unionAll(linked("supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey", F.col("s_suppkey") * 2 + 1))
-    events = read("events").withColumn("__next", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    turns = read("conversations").withColumn("__k", turn_key).withColumn("__next", F.lead("__k").over(Window.partitionBy("conv_id").orderBy("turn")))
-    pair = lambda df, label, key: df.filter("__next is not null").select(F.col(key).alias("_id"), node_id(label, key).alias("_src"), node_id(label, "__next").alias("_dst"))
-    edges = {
-        "IN_REGION": nation.select(F.col("n_nationkey").cast("long").alias("_id"), node_id("Nation", "n_nationkey").alias("_src"), node_id("Region", "n_regionkey").alias("_dst")),
+
+    def nodes(label: str) -> DataFrame:
+        name, key = keys[label]
+        return read(name).select(node_id(label, key or turn_key()).alias("_id"), "*")
+
+    def edges(df: DataFrame, own: Column, a: tuple[str, str | Column], b: tuple[str, str | Column], *more: Column) -> DataFrame:
+        return df.select(own.cast("long").alias("_id"), node_id(*a).alias("_src"), node_id(*b).alias("_dst"), *more)
+
+    def lines(a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+        """lineitem has no key: lines of an order are counted in an order of all columns, under which ties are alike."""
+        df = read("lineitem")
+        number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in df.columns if c != "l_orderkey"]))
+        more = [F.col(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate", "linenumber")]
+        return edges(df.withColumn("__id", F.col("l_orderkey") * 4096 + number), F.col("__id"), a, b, *more)
+
+    def chain(df: DataFrame, label: str, key: Column, by: str, *order: str) -> DataFrame:
+        following = F.lead("__key").over(Window.partitionBy(by).orderBy(*order))
+        df = df.withColumn("__key", key).withColumn("__next", following).filter("__next is not null")
+        return edges(df, F.col("__key"), (label, "__key"), (label, "__next"))
+
+    def from_nation() -> DataFrame:
+        return edges(read("customer"), F.col("c_custkey") * 2, ("Customer", "c_custkey"), ("Nation", "c_nationkey")).unionAll(
+            edges(read("supplier"), F.col("s_suppkey") * 2 + 1, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
+        )
+
+    kinds = {
+        "IN_REGION": lambda: edges(read("nation"), F.col("n_nationkey"), ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
         "FROM_NATION": from_nation,
-        "PLACED": linked("orders", "Customer", "o_custkey", "Order", "o_orderkey", "o_orderkey"),
-        "CONTAINS": line("Order", "l_orderkey", "Part", "l_partkey"),
-        "SUPPLIED_BY": line("Order", "l_orderkey", "Supplier", "l_suppkey"),
-        "SUPPLIES": line("Supplier", "l_suppkey", "Part", "l_partkey"),
-        "PERFORMED": linked("events", "Customer", "user_id", "Event", "event_id", "event_id"),
-        "NEXT": pair(events, "Event", "event_id"),
-        "FOLLOWED_BY": pair(turns, "Turn", "__k"),
-        "LABELLED": linked("labels", "Document", "doc_id", "Label", "doc_id", "doc_id"),
+        "PLACED": lambda: edges(read("orders"), F.col("o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey")),
+        "CONTAINS": lambda: lines(("Order", "l_orderkey"), ("Part", "l_partkey")),
+        "SUPPLIED_BY": lambda: lines(("Order", "l_orderkey"), ("Supplier", "l_suppkey")),
+        "SUPPLIES": lambda: lines(("Supplier", "l_suppkey"), ("Part", "l_partkey")),
+        "PERFORMED": lambda: edges(read("events"), F.col("event_id"), ("Customer", "user_id"), ("Event", "event_id")),
+        "NEXT": lambda: chain(read("events"), "Event", F.col("event_id"), "user_id", "ts", "event_id"),
+        "FOLLOWED_BY": lambda: chain(read("conversations"), "Turn", turn_key(), "conv_id", "turn"),
+        "LABELLED": lambda: edges(read("labels"), F.col("doc_id"), ("Document", "doc_id"), ("Label", "doc_id")),
     }
     ends = {
         "IN_REGION": ("Nation", "Region"),
@@ -73,18 +89,25 @@ def load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         "FOLLOWED_BY": ("Turn", "Turn"),
         "LABELLED": ("Document", "Label"),
     }
-    def holding(table: str, kind: str, side: str, label: str, own: str | Column, a: tuple[str, str], b: tuple[str, str]) -> tuple[tuple[str, str, str], DataFrame]:
-        df = read(table)
-        key = (own if isinstance(own, Column) else F.col(own)).cast("long").alias("_id")
-        return (kind, side, label), df.select(key, node_id(*a).alias("_src"), node_id(*b).alias("_dst"), *[F.col(c).alias(f"{side}${c}") for c in df.columns])
-
-    carried = dict(
-        [
-            holding("nation", "IN_REGION", "src", "Nation", "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
-            holding("customer", "FROM_NATION", "src", "Customer", F.col("c_custkey") * 2, ("Customer", "c_custkey"), ("Nation", "c_nationkey")),
-            holding("supplier", "FROM_NATION", "src", "Supplier", F.col("s_suppkey") * 2 + 1, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey")),
-            holding("orders", "PLACED", "dst", "Order", "o_orderkey", ("Customer", "o_custkey"), ("Order", "o_orderkey")),
-            holding("events", "PERFORMED", "dst", "Event", "event_id", ("Customer", "user_id"), ("Event", "event_id")),
-        ]
+
+    def holding(name: str, side: str, own: Column, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+        df = read(name)
+        return edges(df, own, a, b, *[F.col(c).alias(f"{side}${c}") for c in df.columns])
+
+    carried = {
+        ("IN_REGION", "src", ("Nation",)): lambda: holding("nation", "src", F.col("n_nationkey"), ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
+        ("FROM_NATION", "src", ("Customer",)): lambda: holding("customer", "src", F.col("c_custkey") * 2, ("Customer", "c_custkey"), ("Nation", "c_nationkey")),
+        ("FROM_NATION", "src", ("Supplier",)): lambda: holding("supplier", "src", F.col("s_suppkey") * 2 + 1, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey")),
+        ("PLACED", "dst", ("Order",)): lambda: holding("orders", "dst", F.col("o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey")),
+        ("PERFORMED", "dst", ("Event",)): lambda: holding("events", "dst", F.col("event_id"), ("Customer", "user_id"), ("Event", "event_id")),
+    }
+    return PropertyGraph(
+        spark,
+        Tables({(label,): (lambda label=label: nodes(label)) for label in LABELS}),
+        Tables(kinds),
+        {t: ((a,), (b,)) for t, (a, b) in ends.items()},
+        Tables(carried),
+        (),
+        len(LABELS) << SHIFT,
+        1 << 52,
     )
-    return PropertyGraph.from_dataframes(spark, nodes, edges, ends, carried=carried, next_node=len(LABELS) << SHIFT, next_edge=1 << 52)
