@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_slices
 
 #: Pieces in each of the two generations whose ids a worker remembers.
-PIECES = 600_000
+PIECES = 300_000
 #: How byte-level BPE splits a text into pieces, letters and digits left open.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow slice that an operator turns into Python objects at a time.
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch, about: long texts don't come ten thousand at a time.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +50,35 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold BATCH_BYTES at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name).strip().lower())
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker gives back what it doesn't need until its next task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    for known in _hashes:
+        known.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(df: DataFrame, schema: str | T.StructType, work: Callable[[dict[str, list]], dict[str, list]], columns: list[str], rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow of ``work`` over slices of ``rows`` rows of ``columns``, so that Python objects stay bounded
     whatever the batch size is. ``work`` gets and returns columns as lists."""
@@ -60,7 +94,7 @@ def map_slices(df: DataFrame, schema: str | T.StructType, work: Callable[[dict[s
                 got = work({c: part.column(k).to_pylist() for k, c in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, kind)
+    return small_batches(df).select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(lean(run), kind)
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,12 +110,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+#: All tables of hashes in this process.
+_hashes: weakref.WeakSet[Hashes] = weakref.WeakSet()
+
+
 class Hashes(dict):
     """64-bit hashes of words, kept while there are fewer than ``most`` of them."""
 
-    def __init__(self, hash_of: Callable[[bytes], int], most: int = 400_000) -> None:
+    __hash__ = object.__hash__  # by identity, for _hashes
+
+    def __init__(self, hash_of: Callable[[bytes], int], most: int = 300_000) -> None:
         super().__init__()
         self.hash_of, self.most = hash_of, most
+        _hashes.add(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

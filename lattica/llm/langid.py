@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import lean, map_slices, small_batches
 
 DIMENSIONS = 1 << 15
 #: Rows of each language, about, that the weights are learned from.
@@ -70,7 +70,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         at = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(total[at[:-1]], rows), pa.int64())], names=["gram", "n"])
 
-    found = df.select(F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    found = small_batches(df).select(F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out, rows = np.zeros(DIMENSIONS, np.int64), int(found.n[found.gram < 0].sum())
     found = found[found.gram >= 0]
     out[found.gram.to_numpy()] = found.n.to_numpy()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, map_slices, words_of
+from .common import Hashes, lean, map_slices, small_batches, words_of
 
 #: Entries for tokens and for shapes, numbers in a vector, signs set in an index vector, tokens to either side.
 TOKENS, SHAPES, SIZE, SIGNS, REACH = 1 << 14, 1 << 11, 64, 2, 2
@@ -119,9 +119,9 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "sums"])
 
     schema = "chunk int, sums binary"
-    sums = df.select(F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(gather, schema)
+    sums = small_batches(df).select(F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(lean(gather), schema)
     out = np.zeros((ENTRIES // CHUNK, CHUNK * SIZE))
-    for r in sums.repartition(ENTRIES // CHUNK // 4, "chunk").mapInArrow(add_up, schema).collect():
+    for r in sums.repartition(ENTRIES // CHUNK // 4, "chunk").mapInArrow(lean(add_up), schema).collect():
         out[r.chunk] = np.frombuffer(r.sums, np.float64)
     out = out.reshape(ENTRIES, SIZE)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -231,4 +231,4 @@ def keep_good(df: DataFrame, model: tuple[np.ndarray, Network | None], least: fl
                     part = part.filter(pa.array(net.score(x) >= least))
                 yield part
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(lean(run), df.schema)

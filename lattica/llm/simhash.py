@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, words_of
+from .common import lean, map_slices, materialise, words_of
 from .components import connected, local_roots
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -179,7 +179,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bin_rows: int = BIN_ROW
             yield work(t, t.num_rows)
 
     dealt = rows.select("bin", "part", "fp").repartition("bin", "part").sortWithinPartitions("bin", "part")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def cluster(df: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:

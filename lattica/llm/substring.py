@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, words_of
+from .common import Hashes, lean, release, small_batches, words_of
 
 WINDOW = 50
 BLOCK = WINDOW // 2
@@ -139,7 +139,7 @@ def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays(arrays, names=["box", "hashes", "docs"])
 
     some, several = (np.zeros((CHUNKS, 1 << CHUNK_BITS - 3), np.uint8) for _ in range(2))
-    for r in df.mapInArrow(cut, PARCEL).repartition(64, "box").sortWithinPartitions("box").mapInArrow(collect, PARCEL).toLocalIterator():
+    for r in df.mapInArrow(lean(cut), PARCEL).repartition(64, "box").sortWithinPartitions("box").mapInArrow(lean(collect), PARCEL).toLocalIterator():
         some[r.box], several[r.box] = np.frombuffer(r.hashes, np.uint8), np.frombuffer(r.docs, np.uint8)
     return some.ravel(), several.ravel()
 
@@ -200,7 +200,7 @@ def repeats(df: DataFrame, boxes: int) -> DataFrame:
         if size:
             yield _to_documents(held, boxes)
 
-    return df.mapInArrow(probe, PARCEL).repartition("box").sortWithinPartitions("box").mapInArrow(compare, PARCEL)
+    return df.mapInArrow(lean(probe), PARCEL).repartition("box").sortWithinPartitions("box").mapInArrow(lean(compare), PARCEL)
 
 
 def _to_documents(held: list[tuple[np.ndarray, np.ndarray]], boxes: int) -> pa.RecordBatch:
@@ -215,7 +215,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row:
     ``df``, as a struct column."""
     spark = df.sparkSession
     boxes = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.struct("*").alias("row")] * row)
+    docs = small_batches(df).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.struct("*").alias("row")] * row)
     found = repeats(docs.select("key", "text"), boxes)
     kinds = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept", pa.string())])
 
@@ -232,6 +232,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row:
                     spans, kept = _without(words, h[s:e])
                 for c, v in zip(out, (k, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
                     out[c].append(v)
+        release()
         made = pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
         return made.append_column("row", left.column("row")) if row else made
 
