@@ -10,6 +10,7 @@ from .errors import NotImplementedFeature, SemanticError
 from .functions.aggregates import AGGREGATES
 from .graph import Constraint, PropertyGraph
 from .operators import write
+from .operators.bulk import create_constants, pinned
 from .operators.frame import Frame
 from .operators.match import Matcher
 from .operators.project import project, result, unwind
@@ -102,6 +103,10 @@ class GraphSession:
     def run(self, query: s.Query, graph: PropertyGraph, params: dict[str, Any]) -> tuple[PropertyGraph, DataFrame | None]:
         m = Matcher(graph, params, s.Names(), light_names(query), self.unique)
         frame = Frame(graph.spark.range(1).select(), {}, True)
+        if pinned(m, query.clauses):
+            return m.graph, None
+        if len(query.clauses) == 1 and isinstance(query.clauses[0], s.Create) and create_constants(m, query.clauses[0].paths, {}):
+            return m.graph, None
         for c in query.clauses:
             if isinstance(c, s.Match):
                 if c.kind == "optional":

@@ -206,3 +206,20 @@ def test_results_of_whole_nodes(people):
     assert rows(people.cypher("MATCH (a:Person)-[:KNOWS]->(b) WITH b, count(*) AS n RETURN b.name AS n ORDER BY n")) == [("Bob",), ("Carol",)]
     assert rows(people.cypher("MATCH (a:Person) RETURN DISTINCT a IS NULL AS x")) == [(False,)]
     assert rows(people.cypher("MATCH (a:Person), (b:Person) WHERE a = b RETURN count(*) AS c")) == [(3,)]
+
+
+def test_long_statements(spark):
+    g = GraphSession(PropertyGraph(spark))
+    g.cypher("CREATE " + ", ".join(f"(:Person {{gnId: 'node-{k}', name: 'Person {k}'}})" for k in range(1, 21)))
+    pairs = [(i, i % 20 + 1, (i * 3 + 1) % 20 + 1) for i in range(1, 1001)]
+    pairs = [p for p in pairs if p[1] != p[2]]
+    text = "\n".join(f"MATCH (_a{i}:Person {{gnId: 'node-{a}'}}), (_b{i}:Person {{gnId: 'node-{b}'}})" for i, a, b in pairs)
+    g.cypher(text + "\nCREATE " + ", ".join(f"(_a{i})-[:KNOWS {{weight: {i % 10}}}]->(_b{i})" for i, *_ in pairs))
+    assert (g.graph.node_count(), g.graph.edge_count()) == (20, len(pairs))
+    i, a, b = pairs[7]
+    assert rows(g.cypher("MATCH (a {gnId: $a})-[r:KNOWS]->(b {gnId: $b}) RETURN count(r) AS c, min(r.weight) >= 0 AS w", {"a": f"node-{a}", "b": f"node-{b}"})) == [(sum((x, y) == (a, b) for _, x, y in pairs), True)]
+    lost = text.replace("node-3'", "node-99'") + "\nCREATE " + ", ".join(f"(_a{i})-[:LOST]->(_b{i})" for i, *_ in pairs)
+    g.cypher(lost)
+    assert g.graph.edge_count() == len(pairs)
+    g.cypher("CREATE (:Person {gnId: 'node-1', n: 1.5}), (:Person {gnId: 5, n: null})")
+    assert rows(g.cypher("MATCH (p:Person) WHERE p.n IS NOT NULL RETURN p.gnId AS g, p.n AS n")) == [("node-1", 1.5)]
