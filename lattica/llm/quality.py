@@ -1,10 +1,11 @@
 """Quality scores: random-indexing word vectors pooled per document, then a two-layer network.
 
 Every word, a run of anything but ASCII white space, has an entry for itself (in lower case, without signs at its ends)
-and one for its shape, both by hash. Each entry has a fixed sparse random index vector; the vector of an entry is the
-sum of the index vectors of the entries of its kind around all its occurrences in all documents. A document is the mean of the unit vectors of its words, and of
-their shapes. The network learns on a bounded sample of labelled rows; a temperature fitted on rows it didn't learn
-from calibrates its probabilities.
+and one for its shape, both by hash; a word like the one before it has the shape of a repetition. Each entry has a
+fixed sparse random index vector; the vector of an entry is the sum of the index vectors of the entries of its kind
+around all its occurrences in all documents. A document is the mean of the unit vectors of its words, and of their
+shapes. The network learns on a bounded sample of labelled rows; a temperature fitted on rows it didn't learn from
+calibrates its probabilities.
 
 Null and empty texts pool to zeros and are scored like any other. Repeated labels of one document count as their mean,
 rounded; null labels don't count. Without labels, every score is 0.5. Whole texts count; other columns are never
@@ -27,6 +28,8 @@ from .common import Hashes, lean, map_slices, small_batches, words_of
 #: Entries for tokens and for shapes, numbers in a vector, signs set in an index vector, tokens to either side.
 TOKENS, SHAPES, SIZE, SIGNS, REACH = 1 << 14, 1 << 11, 64, 2, 2
 ENTRIES = TOKENS + SHAPES
+#: The entry of the shape of words that repeat the word before.
+AGAIN = ENTRIES - 1
 #: Labelled rows, about, that the network learns from.
 LABELLED_ROWS = 5000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-3
@@ -47,16 +50,18 @@ def shape_of(word: bytes) -> bytes:
 def entries_of(word: bytes) -> int:
     """Both entries of a word in one number."""
     at = zlib.crc32(word.lower().strip(SIGNS_AT_ENDS) or word) % TOKENS
-    return at << 32 | TOKENS + zlib.crc32(shape_of(word)) % SHAPES
+    return at << 32 | TOKENS + zlib.crc32(shape_of(word)) % (SHAPES - 1)
 
 
 _known = Hashes(entries_of)
 
 
 def entries(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The word entry and the shape entry of each word."""
+    """The word entry and the shape entry of each word; a word like the one before it has a shape of its own."""
     both = _known.array(words_of(text))
-    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    shapes = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    shapes[1:][both[1:] == both[:-1]] = AGAIN
+    return (both >> np.uint64(32)).astype(np.int64), shapes
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
