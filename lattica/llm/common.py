@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import pathlib
 import re
+import shutil
+import tempfile
 import uuid
 import weakref
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,7 +55,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold BATCH_BYTES at most."""
+    """``df``, in a session whose Arrow batches hold BATCH_BYTES at most and whose workers can import this package."""
+    ship(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", conf.get(name).strip().lower())
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
@@ -59,6 +64,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Applications whose executors have got the package.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors of a session, once: Spark's own file server hands it out."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = pathlib.Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="lattica-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/lattica.zip", "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(f"{folder}/lattica.zip")
+    _shipped.add(sc.applicationId)
+
+
 def lean(run: Callable) -> Callable:
     """``run`` over batches, after which the worker gives back what it doesn't need until its next task."""
 
