@@ -106,4 +106,4 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_anisotropic_ann": ann.EXACT_SQL, "op6_chat_formatting": OP6_SQL, "op8_substring_dedup": substring.DIGEST_SQL}

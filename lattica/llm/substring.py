@@ -253,3 +253,23 @@ def _without(words: list[bytes], gone: np.ndarray) -> tuple[list[int], list[byte
     covered = np.cumsum(step[:-1]) > 0
     spans = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]))).tolist()
     return spans, [words[k] for k in np.flatnonzero(~covered)]
+
+
+#: DuckDB SQL over documents (doc_id, text): the digests of what stays, from all windows.
+DIGEST_SQL = """
+with d as (
+  select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)
+), first as (
+  select h, min(doc_id) as least from windows group by h
+), gone as (
+  select distinct doc_id, i + k as p from (select doc_id, i, unnest(range(0, 50)) as k from windows join first using (h) where least < doc_id)
+), words as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d
+), kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by p) as text from words anti join gone using (doc_id, p) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
