@@ -29,12 +29,13 @@ UNROLLED = 3
 
 @dataclass
 class Matcher:
-    """``light``: variables of which nothing but the id is ever used. ``unique``: relationships of one MATCH differ."""
+    """``used``: what is used of variables besides their ids, names of properties or None for everything; unknown
+    ones count as used. ``unique``: relationships of one MATCH differ."""
 
     graph: PropertyGraph
     params: dict[str, Any]
     names: s.Names
-    light: frozenset[str] = frozenset()
+    used: dict[str, set[str] | None] = field(default_factory=dict)
     unique: bool = False
     _rels: list[str] = field(default_factory=list)
 
@@ -197,7 +198,7 @@ class Matcher:
         if far in frame.vars:
             return self.check_node(frame, q, far)
         sets = self.end_sets(p, backwards)
-        if sets is not None and (far.startswith("__") or far in self.light) and not q.properties and all(set(q.labels) <= set(x) for x in sets):
+        if sets is not None and (far.startswith("__") or self.used.get(far) == set()) and not q.properties and all(set(q.labels) <= set(x) for x in sets):
             prefix = f"{far}@{self.names.fresh('')}"
             e = Entity("node", prefix, (("_id", T.LongType()),))
             return frame.bind(frame.df.withColumn(e.id, col(at)), **{far: e})
@@ -295,9 +296,12 @@ class Matcher:
         found, keys, marks = self.detached(frame, paths, where)
         new = {n: b for n, b in found.vars.items() if n not in frame.vars}
         right = found.df.select(*[col(c) for c in (*marks, *Frame(found.df, new).columns())])
+        if frame.unit:  # all matches, or one row of nulls
+            one = self.graph.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema])
+            none = one.join(right.limit(1).select(F.lit(1).alias("__some")), F.lit(True), "left_anti")
+            return frame.bind(right.unionAll(none), **new)
         test = null_safe(list(map(col, keys)), list(map(col, marks))) if keys else F.lit(True)
-        left = frame.df if not frame.unit else self.graph.spark.range(1).select(F.lit(1).alias("__one"))
-        return frame.bind(left.join(right, test, "left"), **new)
+        return frame.bind(frame.df.join(right, test, "left"), **new)
 
     def mandatory(self, frame: Frame, paths: tuple[s.PathPattern, ...]) -> Frame:
         out = self.match(frame, paths)

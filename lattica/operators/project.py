@@ -151,10 +151,14 @@ def grouped(m: Matcher, frame: Frame, exprs: list[s.Node], keys: list[str], name
 
     def key_of(e: s.Node) -> Entity | Value:
         if entity := bound(frame, e, replaced):
-            if entity.id not in by:
+            wanted = m.used.get(e.name)
+            if wanted is not None and e.name in m.used:  # few columns group along with the id they depend on
+                entity = Entity(entity.kind, entity.prefix, tuple((n, t) for n, t in entity.fields if n in ("_id", "_labels", "_type") or n in wanted))
+                by.extend(c for c in entity.columns if c not in by)
+            elif entity.id not in by:
                 by.append(entity.id)
-                rows.update({c: col(c) for c in entity.columns})
                 kept.extend(F.first(col(c)).alias(c) for c in entity.columns if c != entity.id)
+            rows.update({c: col(c) for c in entity.columns})
             known[e] = entity.value()
             return entity
         x = lower(e, scope)

@@ -106,7 +106,7 @@ def create(m: Matcher, frame: Frame, paths: tuple[s.PathPattern, ...], check: bo
 
 
 def replace_graph(m: Matcher, graph: PropertyGraph) -> Matcher:
-    return Matcher(graph, m.params, m.names, m.light, m.unique)
+    return Matcher(graph, m.params, m.names, m.used, m.unique)
 
 
 def _with_new(graph: PropertyGraph, made: list, rows: DataFrame) -> PropertyGraph:

@@ -7,7 +7,6 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from .errors import NotImplementedFeature, SemanticError
-from .functions.aggregates import AGGREGATES
 from .graph import Constraint, PropertyGraph
 from .operators import write
 from .operators.bulk import create_constants, pinned
@@ -19,33 +18,40 @@ from .plans.parser import parse
 from .sources.csv import load_csv
 
 
-def light_names(query: s.Query) -> frozenset[str]:
-    """Variables of which nothing but the id is used: in patterns, id(), count() and tests for null."""
-    seen: set[str] = set()
-    used: set[str] = set()
+def usage(query: s.Query) -> dict[str, set[str] | None]:
+    """What is used of each variable besides its id: names of properties, or None for everything. Patterns, id(),
+    count(), tests for null and passing it on under its name use nothing."""
+    used: dict[str, set[str] | None] = {}
 
     def visit(e: s.Node) -> None:
         todo = [e]
         while todo:
             x = todo.pop()
-            if isinstance(x, s.NodePattern) and x.name:
-                seen.add(x.name)
+            if isinstance(x, (s.NodePattern, s.RelPattern)) and x.name:
+                used.setdefault(x.name, set())
+                if used[x.name] is not None:
+                    used[x.name].update(k for k, _ in x.properties)
             if isinstance(x, (s.Call, s.IsNull)):
                 args = x.args if isinstance(x, s.Call) else (x.value,)
                 if (isinstance(x, s.IsNull) or x.name in ("id", "count")) and len(args) == 1 and isinstance(args[0], s.Variable):
+                    used.setdefault(args[0].name, set())
                     continue
+            if isinstance(x, s.Property) and isinstance(x.base, s.Variable):
+                used.setdefault(x.base.name, set())
+                if used[x.base.name] is not None:
+                    used[x.base.name].add(x.name)
+                continue
             if isinstance(x, s.Variable):
-                used.add(x.name)
+                used[x.name] = None
             if isinstance(x, s.MapProjection):
-                used.update(i[1] for i in x.items if i[0] == "variable")
+                used.update({i[1]: None for i in x.items if i[0] == "variable"})
             todo.extend(x.children())
 
+    every: dict[str, set[str] | None] = {}
     for c in query.clauses:
-        if isinstance(c, (s.Create, s.Merge, s.SetClause, s.Remove, s.Delete)):
-            return frozenset()
+        if isinstance(c, (s.Create, s.Merge, s.SetClause, s.Remove, s.Delete)) or isinstance(c, s.Projection) and c.star:
+            return every
         if isinstance(c, s.Projection):
-            if c.star:
-                return frozenset()
             for i in c.items:
                 if not (not c.final and isinstance(i.value, s.Variable) and i.alias in (None, i.value.name)):
                     visit(i.value)
@@ -55,12 +61,12 @@ def light_names(query: s.Query) -> frozenset[str]:
             for p in c.paths:
                 visit(p)
                 if p.name:
-                    used.update(n.name for n in p.nodes if n.name)
+                    used.update({n.name: None for n in p.nodes if n.name})
             if c.where is not None:
                 visit(c.where)
         else:
             visit(c)
-    return frozenset(seen - used)
+    return used
 
 
 class GraphSession:
@@ -101,7 +107,7 @@ class GraphSession:
         return self.spark.range(0).select()
 
     def run(self, query: s.Query, graph: PropertyGraph, params: dict[str, Any]) -> tuple[PropertyGraph, DataFrame | None]:
-        m = Matcher(graph, params, s.Names(), light_names(query), self.unique)
+        m = Matcher(graph, params, s.Names(), usage(query), self.unique)
         frame = Frame(graph.spark.range(1).select(), {}, True)
         if pinned(m, query.clauses):
             return m.graph, None
@@ -148,4 +154,4 @@ def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.toDF(*names).unionAll(b.toDF(*names)).toDF(*a.columns)
 
 
-__all__ = ["AGGREGATES", "GraphSession", "light_names"]
+__all__ = ["GraphSession", "usage"]
