@@ -22,8 +22,19 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+_graphs: dict[tuple[str, str], PropertyGraph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The test graph of a folder, opened once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = testgraph.load(spark, sf_dir)
+    return _graphs[key]
+
+
 def session(spark: SparkSession, sf_dir: str) -> GraphSession:
-    return GraphSession(testgraph.load(spark, sf_dir))
+    return GraphSession(graph(spark, sf_dir))
 
 
 def reads(name: str, text: str, sql: str | None = None, **params) -> None:
@@ -396,7 +407,7 @@ def _csv_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small(spark: SparkSession, sf_dir: str) -> GraphSession:
     """Regions, nations, customers and suppliers only, to be written to."""
-    g = testgraph.load(spark, sf_dir)
+    g = graph(spark, sf_dir)
     kept = g.nodes.only(lambda k: k[0] in ("Region", "Nation", "Customer", "Supplier"))
     edges = {t: g.edges[t] for t in ("IN_REGION", "FROM_NATION")}
     return GraphSession(PropertyGraph(spark, kept, edges, {"IN_REGION": g.ends["IN_REGION"]}, {}, (), g.next_node, g.next_edge))
@@ -490,7 +501,7 @@ def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.export import export_cypher
 
-    g = testgraph.load(spark, sf_dir)
+    g = graph(spark, sf_dir)
     part = PropertyGraph(spark, g.nodes.only(lambda k: k[0] in ("Region", "Nation")), {"IN_REGION": g.edges["IN_REGION"]})
     again = GraphSession(PropertyGraph(spark))
     again.cypher(export_cypher(part))
@@ -502,7 +513,7 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.store import load_graph, save_graph
 
-    g = testgraph.load(spark, sf_dir)
+    g = graph(spark, sf_dir)
     part = PropertyGraph(spark, g.nodes.only(lambda k: k[0] in ("Region", "Nation")), {"IN_REGION": g.edges["IN_REGION"]})
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     save_graph(part, path)
@@ -521,7 +532,7 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> GraphSession:
     """Clients, and their requests as chains of log entries: each event is an entry, chained to the user's next."""
-    g = testgraph.load(spark, sf_dir)
+    g = graph(spark, sf_dir)
     kinds = ("PERFORMED", "NEXT")
     ends = {t: g.ends[t] for t in kinds}
     return GraphSession(PropertyGraph(spark, g.nodes.only(lambda k: k[0] in ("Customer", "Event")), g.edges.only(kinds.__contains__), ends, g.carried.only(lambda k: k[0] == "PERFORMED")))

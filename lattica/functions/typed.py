@@ -49,8 +49,22 @@ def probe(build: Callable[..., Column], *kinds: T.DataType) -> T.DataType:
     return frame.select(build(*[F.col(f"a{i}") for i in range(len(kinds))])).schema[0].dataType
 
 
+#: Types that builders without free variables have been found to make.
+_made: dict[tuple, T.DataType] = {}
+
+
 def made(build: Callable[..., Column], *args: Typed) -> Typed:
-    return Typed(build(*[a.col for a in args]), probe(build, *[a.type for a in args]))
+    kinds = [a.type for a in args]
+    if build.__module__.startswith("pyspark."):
+        key = (build.__module__, build.__qualname__, *[k.json() for k in kinds])
+    else:
+        key = (build.__code__, *[k.json() for k in kinds]) if build.__closure__ is None else None
+    kind = _made.get(key) if key else None
+    if kind is None:
+        kind = probe(build, *kinds)
+        if key:
+            _made[key] = kind
+    return Typed(build(*[a.col for a in args]), kind)
 
 
 def is_null(a: Typed) -> bool:
