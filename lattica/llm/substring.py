@@ -18,6 +18,7 @@ shorter than a window are left whole. Other columns are ignored; empty tables gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -95,19 +96,17 @@ def _parcels(h: np.ndarray, doc: np.ndarray, box: np.ndarray) -> pa.RecordBatch:
 PARCEL = "box int, hashes binary, docs binary"
 
 
-def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Everything of one box after the other, from parcels that come sorted by box."""
-    now, hashes, docs = None, [], []
+def _parcels_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for batch in batches:
         for box, h, d in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if box != now and hashes:
-                yield now, np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(docs), np.int64)
-                hashes, docs = [], []
-            now = box
-            hashes.append(h)
-            docs.append(d)
-    if hashes:
-        yield now, np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(docs), np.int64)
+            yield box, np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64)
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Everything of one box after the other, from parcels that come sorted by box."""
+    for box, parcels in groupby(_parcels_in(batches), key=lambda p: p[0]):
+        own = list(parcels)
+        yield box, np.concatenate([h for _, h, _ in own]), np.concatenate([d for *_, d in own])
 
 
 def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +129,23 @@ def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield hand_on()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for box, h, doc in _boxes(batches):
-            low, high = np.full(1 << CHUNK_BITS, np.iinfo(np.int64).max), np.full(1 << CHUNK_BITS, np.iinfo(np.int64).min)
+        """The bits of one chunk after the other; parcels are taken in as they come."""
+        now, low, high = None, np.zeros(0), np.zeros(0)
+
+        def bits() -> pa.RecordBatch:
+            arrays = [pa.array([now], pa.int32()), *(pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (low <= high, low < high))]
+            return pa.RecordBatch.from_arrays(arrays, names=["box", "hashes", "docs"])
+
+        for box, h, doc in _parcels_in(batches):
+            if box != now:
+                if now is not None:
+                    yield bits()
+                now, low, high = box, np.full(1 << CHUNK_BITS, np.iinfo(np.int64).max), np.full(1 << CHUNK_BITS, np.iinfo(np.int64).min)
             for at in slots(h):
                 np.minimum.at(low, at, doc)
                 np.maximum.at(high, at, doc)
-            arrays = [pa.array([box], pa.int32()), *(pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (low <= high, low < high))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["box", "hashes", "docs"])
+        if now is not None:
+            yield bits()
 
     some, several = (np.zeros((CHUNKS, 1 << CHUNK_BITS - 3), np.uint8) for _ in range(2))
     for r in df.mapInArrow(lean(cut), PARCEL).repartition(64, "box").sortWithinPartitions("box").mapInArrow(lean(collect), PARCEL).toLocalIterator():
@@ -171,8 +180,12 @@ def repeats(df: DataFrame, boxes: int) -> DataFrame:
         held, size = [], 0
 
         def hand_on() -> pa.RecordBatch:
+            """Of each window, the smallest document goes to the window's box; the others, which repeat it, go straight
+            to their documents', under negative numbers. So a box gets a window once from each of these calls."""
             h, doc = np.concatenate([x for _, x in held]), np.repeat(np.array([k for k, _ in held], np.int64), [len(x) for _, x in held])
-            return _parcels(h, doc, (h % np.uint64(boxes)).astype(np.int64))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            return _parcels(h, doc, np.where(_repeated(h, doc), -1 - doc % boxes, (h % np.uint64(boxes)).astype(np.int64)))
 
         for key, words in _texts(batches):
             if len(found := candidates(words, some, several)):
@@ -186,14 +199,14 @@ def repeats(df: DataFrame, boxes: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, h, doc in _boxes(batches):
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            least = doc[first][np.cumsum(first) - 1]
-            again = doc > least
-            held.append((h[again], doc[again]))
-            size += int(again.sum())
+        for box, h, doc in _boxes(batches):
+            if box >= 0:
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                again = _repeated(h, doc)
+                h, doc = h[again], doc[again]
+            held.append((h, doc))
+            size += len(h)
             if size >= GATHER:
                 yield _to_documents(held, boxes)
                 held, size = [], 0
@@ -203,6 +216,12 @@ def repeats(df: DataFrame, boxes: int) -> DataFrame:
     return df.mapInArrow(lean(probe), PARCEL).repartition("box").sortWithinPartitions("box").mapInArrow(lean(compare), PARCEL)
 
 
+def _repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same window; sorted by window and document."""
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    return doc > doc[first][np.cumsum(first) - 1]
+
+
 def _to_documents(held: list[tuple[np.ndarray, np.ndarray]], boxes: int) -> pa.RecordBatch:
     h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
     order = np.argsort(doc, kind="stable")
