@@ -38,6 +38,7 @@ class Matcher:
     used: dict[str, set[str] | None] = field(default_factory=dict)
     unique: bool = False
     _rels: list[str] = field(default_factory=list)
+    _where: s.Node | None = None
 
     def scope(self, frame: Frame, replaced: dict[s.Node, Typed] | None = None) -> Scope:
         return Scope(frame.vars, self.params, None, replaced)
@@ -45,7 +46,7 @@ class Matcher:
     # -- MATCH ------------------------------------------------------------------------------------------------------
 
     def match(self, frame: Frame, paths: tuple[s.PathPattern, ...], where: s.Node | None = None) -> Frame:
-        todo, self._rels = list(paths), []
+        todo, self._rels, self._where = list(paths), [], where
         while todo:
             at = next((k for k, p in enumerate(todo) if names_in(p) & set(frame.vars)), 0)
             frame = self.path(frame, todo.pop(at))
@@ -209,6 +210,17 @@ class Matcher:
         out = frame.bind(frame.df.join(df, col(at) == col(e.id)), **{far: e})
         return self.with_properties(out, far, q.properties)
 
+    def early(self, frame: Frame) -> Frame:
+        """Already filtered by the conjuncts of the condition that need nothing else than is bound."""
+        todo = [] if self._where is None else [self._where]
+        while todo:
+            e = todo.pop(0)
+            if isinstance(e, s.Binary) and e.op == "AND":
+                todo[:0] = [e.left, e.right]
+            elif names_in(e) <= set(frame.vars) and not any(isinstance(x, (s.Exists, s.PatternComprehension, s.Call)) for x in s.walk(e)):
+                frame = frame.keep(frame.df.filter(condition(e, self.scope(frame))))
+        return frame
+
     # -- filters and subqueries -------------------------------------------------------------------------------------
 
     def filter(self, frame: Frame, where: s.Node) -> Frame:

@@ -162,7 +162,7 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     r, own = p.rels[0], m.names.fresh("short")
     a, b = (n.name or m.names.fresh("n") for n in p.nodes)
     frame = m.node(frame, p.nodes[0], a)
-    frame = m.node(frame, p.nodes[1], b)
+    frame = m.early(m.node(frame, p.nodes[1], b))  # fewer pairs to search for
     low, high = 1 if r.low is None else r.low, r.high
     pair = [f"{own}a", f"{own}b"]
     pairs = materialise(frame.df.select(col(m.id_of(frame, a)).alias(pair[0]), col(m.id_of(frame, b)).alias(pair[1])).distinct())
@@ -186,15 +186,15 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
             level = materialise(level)
             if level.isEmpty():
                 break
-            if seen is not None:
-                seen = materialise(seen.unionAll(level.select(pair[0], f"{own}cur").distinct()))
+            if seen is not None:  # a union of what is written already
+                seen = seen.unionAll(level.select(pair[0], f"{own}cur"))
         if depth >= low:
             if seen is None and depth:
                 seen = level.select(pair[0], f"{own}cur").distinct()
             here = level.join(open_, (level[pair[0]] == open_[pair[0]]) & (col(f"{own}cur") == col(pair[1]))).drop(open_[pair[0]])
-            found = materialise(here.select(*pair, f"{own}ids", f"{own}rels", f"{own}steps"))
+            found = here.select(*pair, f"{own}ids", f"{own}rels", f"{own}steps")
             hits.append(found)
-            open_ = materialise(open_.join(found.select(*pair).distinct(), pair, "left_anti"))
+            open_ = materialise(open_.join(found.select(*pair), pair, "left_anti"))
             if open_.isEmpty():
                 break
             level = level.join(open_.select(pair[0]).distinct(), pair[0], "left_semi")
