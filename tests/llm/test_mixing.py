@@ -40,3 +40,38 @@ def test_odd_rows(spark):
 def test_the_plan_is_native(spark, data):
     plan = queries.op1_source_mixing(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def skewed(spark, shares, n=2000):
+    """Documents of ten words each, of which the domain's own share is the given one, known for certain."""
+    rows = [([1000 * (k == j) for j in range(len(shares))], 10) for k, s in enumerate(shares) for _ in range(round(s * n))]
+    return spark.createDataFrame(rows, "posterior array<int>, n_tokens long")
+
+
+def reached(found, steps, lowest, many):
+    from pyspark.sql import functions as F
+
+    whole = found.agg(F.sum("n_tokens")).first()[0]
+    m = F.col("n_tokens") * mixing.rate_of("posterior", steps, lowest)
+    return [x / whole for x in found.agg(*[F.sum(m * F.col("posterior")[k] / 1000) for k in range(many)]).first()]
+
+
+def test_scarce_domains_meet_their_targets(spark):
+    names, aim = ["a", "b", "c", "d"], {"a": 0.4, "b": 0.25, "c": 0.2, "d": 0.15}
+    for shares in ((0.9, 0.07, 0.02, 0.01), (0.7, 0.2, 0.08, 0.02)):
+        found = skewed(spark, shares)
+        domains = list(zip(names, shares, strict=True))
+        steps, targets = mixing.fit_rates(found, domains, aim)
+        assert targets == aim
+        assert all(abs(a - aim[d]) < 2e-4 for a, d in zip(reached(found, steps, 0.0, 4), names, strict=True))
+        steps, targets = mixing.fit_rates(found, domains, 0.7, lowest=1.0, shrink=False)
+        assert all(abs(a - targets[d]) < 2e-4 for a, d in zip(reached(found, steps, 1.0, 4), names, strict=True))
+
+
+def test_what_no_rates_reach_is_reported(spark):
+    import pytest
+
+    found = skewed(spark, (0.9, 0.1))
+    with pytest.warns(UserWarning, match="misses its own by 0.4"):
+        steps, _ = mixing.fit_rates(found, [("a", 0.9), ("b", 0.1)], {"a": 0.5, "b": 0.5}, lowest=1.0)
+    assert [round(x, 3) for x in reached(found, steps, 1.0, 2)] == [0.9, 0.5]
