@@ -173,7 +173,7 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     level = start.withColumns({f"{own}ids": F.array().cast("array<bigint>"), f"{own}rels": F.array().cast(rel_kind), f"{own}steps": F.array().cast("array<bigint>")})
     seen = start.select(pair[0], f"{own}cur") if low <= 1 else None
     open_, hits = pairs, []
-    for depth in range(0, (MOST_HOPS if high is None else min(high, MOST_HOPS)) + 1):
+    for depth in range(0, (MOST_HOPS + 1 if high is None else high) + 1):
         if depth:
             step = level.join(edges, col(f"{own}cur") == col(enter)).filter(~F.array_contains(f"{own}ids", col(e.id)))
             step = step.withColumns({f"{own}cur": col(leave), f"{own}ids": F.array_append(f"{own}ids", col(e.id)), f"{own}rels": F.array_append(f"{own}rels", rel), f"{own}steps": F.array_append(f"{own}steps", col(leave))})
@@ -186,6 +186,8 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
             level = materialise(level)
             if level.isEmpty():
                 break
+            if high is None and depth > MOST_HOPS:  # pairs are open, else the search had ended
+                raise QueryRuntimeError(f"shortest paths go on after {MOST_HOPS} hops: give an upper bound")
             if seen is not None:  # a union of what is written already
                 seen = seen.unionAll(level.select(pair[0], f"{own}cur"))
         if depth >= low:

@@ -100,6 +100,19 @@ def test_shortest_paths(spark):
         q("MATCH p = shortestPath((a)-[:E]->(b)) RETURN p")
 
 
+def test_shortest_paths_beyond_the_default_bound(spark, monkeypatch):
+    from lattica.operators import paths
+
+    monkeypatch.setattr(paths, "MOST_HOPS", 3)
+    q = graph(spark, {"D": [(k, {"n": k}) for k in range(7)]}, {"E": [(k, k + 1, {"w": 1}) for k in range(6)]}).cypher
+    for kind in ("shortestPath", "allShortestPaths"):
+        assert rows(q(f"MATCH p = {kind}((a {{n: 0}})-[:E*..5]->(b {{n: 5}})) RETURN length(p) AS l")) == [(5,)]
+        assert rows(q(f"MATCH p = {kind}((a {{n: 0}})-[:E*..5]->(b {{n: 6}})) RETURN length(p) AS l")) == []
+        assert rows(q(f"MATCH p = {kind}((a {{n: 0}})-[:E*]->(b {{n: 3}})) RETURN length(p) AS l")) == [(3,)]
+        with pytest.raises(QueryRuntimeError):
+            q(f"MATCH p = {kind}((a {{n: 0}})-[:E*]->(b {{n: 4}})) RETURN length(p) AS l")
+
+
 def test_relationship_uniqueness_is_an_option(spark):
     g = graph(spark, {"D": [(0, {"n": "A"}), (1, {"n": "B"})]}, {"E": [(0, 1, {"w": 1})]})
     assert rows(g.cypher("MATCH (a)-[:E]-(b)-[:E]-(c) RETURN count(*) AS c")) == [(2,)]
