@@ -24,8 +24,6 @@ from .common import lean, map_slices, small_batches
 DIMENSIONS = 1 << 15
 #: Rows of each language, about, that the weights are learned from.
 ROWS_PER_LANGUAGE = 900
-#: Languages learned at most: the most frequent ones.
-LANGUAGES = 200
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 4
 LETTER = regex.compile(r"\p{L}")
 #: Code points handled at a time, which bounds memory for very long texts.
@@ -138,14 +136,13 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
     frequency, n = document_frequencies(df, text)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     labelled = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0))
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col(label) == name, min(1.0, rows_per_language / sizes[name])).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, rows_per_language / sizes[name]))])
+    share = F.element_at(shares, F.col(label))
     number = {name: k for k, name in enumerate(languages)}
 
     def work(rows: dict[str, list]) -> dict[str, list]:

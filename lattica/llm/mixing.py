@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Labelled rows, about, that the classifier is learned from; words in its table; domains at most.
-LABELLED_ROWS, VOCABULARY, DOMAINS = 4_000, 1_500, 64
+#: Labelled rows, about, that the classifier is learned from; words in its table.
+LABELLED_ROWS, VOCABULARY = 4_000, 1_500
 #: Words that count towards a posterior at most, as a weight: longer texts are not surer than this many words.
 EVIDENCE = 200.0
 #: Most evaluations of the totals, after which what is left is reported; largest miss of a target, as a share of all
@@ -43,13 +43,13 @@ def words(text: str) -> Column:
 def classifier(labelled: DataFrame, text: str, label: str, key: str, rows: int = LABELLED_ROWS, vocabulary: int = VOCABULARY) -> tuple[list[tuple[str, float]], DataFrame | None]:
     """The domains with their shares, and the table (word, lp): log probabilities of a word by domain."""
     known = labelled.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    sizes = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(DOMAINS).collect()
+    sizes = known.groupBy("label").count().collect()  # every label is a domain
     if not sizes:
         return [], None
     total = sum(r["count"] for r in sizes)
     domains = sorted((r["label"], r["count"] / total) for r in sizes)
     draw = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    some = known.filter((draw < rows / total) & F.col("label").isin([d for d, _ in domains]))
+    some = known.filter(draw < rows / total)
     counted = some.select("label", F.explode(words("text")).alias("word")).filter("word != ''").groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == d).alias(f"n{k}") for k, (d, _) in enumerate(domains)])
     top = materialise(counted.orderBy(F.desc("n"), "word").limit(vocabulary))
     sums = top.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(len(domains))]).first()

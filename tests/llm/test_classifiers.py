@@ -46,3 +46,11 @@ def test_quality_of_odd_rows(spark):
     none = quality.score(df, quality.fit(df, labels.filter("false"), F.lit(True))).collect()
     assert {r.score for r in none} == {0.5}
     assert quality.score(df.filter("false"), quality.fit(df.filter("false"), labels, F.lit(True))).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    texts = {f"l{k:03}": "".join(chr(0x4E00 + 30 * k + i) for i in range(30)) for k in range(203)}
+    df = spark.createDataFrame([(10 * k + i, t, name) for k, (name, t) in enumerate(texts.items()) for i in range(3)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == sorted(texts)
+    assert model.predict(texts["l202"])[0] == "l202"

@@ -75,3 +75,14 @@ def test_what_no_rates_reach_is_reported(spark):
     with pytest.warns(UserWarning, match="misses its own by 0.4"):
         steps, _ = mixing.fit_rates(found, [("a", 0.9), ("b", 0.1)], {"a": 0.5, "b": 0.5}, lowest=1.0)
     assert [round(x, 3) for x in reached(found, steps, 1.0, 2)] == [0.9, 0.5]
+
+
+def test_every_label_is_a_domain(spark):
+    names = [f"d{k:02}" for k in range(70)]
+    df = spark.createDataFrame([(k, f"{names[k % 70]} own{names[k % 70]}", names[k % 70]) for k in range(280)], "doc_id long, text string, lang string")
+    domains, table = mixing.classifier(df, "text", "lang", "doc_id")
+    assert [d for d, _ in domains] == names and table.count() == 140
+    found = spark.createDataFrame([([1000 * (k == j) for j in range(70)], 2) for k in range(70)], "posterior array<int>, n_tokens long")
+    aim = {d: (2 if d == "d69" else 1) / 71 for d in names}
+    steps, targets = mixing.fit_rates(found, domains, aim)
+    assert abs(reached(found, steps, 0.0, 70)[69] - aim["d69"]) < 2e-4 and targets == aim
