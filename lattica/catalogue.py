@@ -545,6 +545,7 @@ def logged(name: str, text: str, sql: str) -> None:
 
 logged("access_log_request", "MATCH (e:Event {user_id: 7}) RETURN e.event_id AS id, e.event_type AS layer ORDER BY id", "select event_id as id, event_type as layer from events where user_id = 7")
 logged("access_log_client", "MATCH (c:Customer)-[:PERFORMED]->(e:Event) WHERE e.event_id % 100 = 3 RETURN c.c_name AS client, e.event_id AS id", "select c_name as client, event_id as id from events join customer on c_custkey = user_id where event_id % 100 = 3")
+logged("access_log_clients", "MATCH (c:Customer)-[:PERFORMED]->(e:Event) RETURN c.c_name AS client, e.event_id AS id", "select c_name as client, event_id as id from events join customer on c_custkey = user_id")
 logged(
     "access_log_hops",
     "MATCH (c:Customer)-[:PERFORMED]->(a:Event {event_type: 'error'})-[:NEXT*1..2]->(b:Event) RETURN c.c_custkey AS c, count(b) AS hops",

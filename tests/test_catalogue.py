@@ -47,3 +47,8 @@ def test_plans(spark, data):
         assert "Python" not in text and "Arrow" not in text, name
     assert "LeftSemi" in plan(spark, data, "exists_semi") and "LeftAnti" in plan(spark, data, "not_exists_anti")
     assert "TakeOrderedAndProject" in plan(spark, data, "top_k")
+
+
+def test_every_event_gets_its_client(spark, data, db):
+    ids = [r.id for r in catalogue.QUERIES["access_log_clients"](spark, data).collect()]
+    assert sorted(ids) == [x for (x,) in db.execute("select event_id from events join customer on c_custkey = user_id order by 1").fetchall()]
