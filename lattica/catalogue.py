@@ -520,6 +520,38 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GraphSession(load_graph(spark, path)).cypher("MATCH (n) RETURN labels(n)[0] AS label, count(*) AS c UNION ALL MATCH (:Nation)-[r:IN_REGION]->(:Region) RETURN '-', count(r)")
 
 
+#: Rows of every label and type of the test graph.
+_ALL_PARTS = (
+    " union all ".join(f"select '{x}' as label, count(*) as c from {t}" for x, t in [("Region", "region"), ("Nation", "nation"), ("Customer", "customer"), ("Supplier", "supplier"), ("Part", "part"), ("Order", "orders"), ("Event", "events"), ("Turn", "conversations"), ("Document", "documents"), ("Label", "labels"), ("IN_REGION", "nation"), ("PLACED", "orders"), ("CONTAINS", "lineitem"), ("SUPPLIED_BY", "lineitem"), ("SUPPLIES", "lineitem"), ("PERFORMED", "events"), ("LABELLED", "labels")])
+    + " union all select 'FROM_NATION', (select count(*) from customer) + (select count(*) from supplier)"
+    + " union all select 'NEXT', sum(n - 1)::bigint from (select count(*) as n from events group by user_id)"
+    + " union all select 'FOLLOWED_BY', sum(n - 1)::bigint from (select count(*) as n from conversations group by conv_id)"
+)
+
+
+@runs("store_roundtrip_all", _ALL_PARTS)
+def _store_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.store import load_graph, save_graph
+
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    save_graph(graph(spark, sf_dir), path)
+    again, out = load_graph(spark, path), None
+    for label, df in [*((k[0], df) for k, df in again.nodes.items()), *again.edges.items()]:
+        counted = df.agg(F.count("*").alias("c")).select(F.lit(label).alias("label"), "c")
+        out = counted if out is None else out.unionAll(counted)
+    return out
+
+
+@runs("export_parts", _ALL_PARTS)
+def _export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.export import cypher_parts
+
+    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    cypher_parts(graph(spark, sf_dir)).write.parquet(path)
+    label = F.regexp_extract("part", r"^\(_\d+(?:\)-\[)?:(\w+)", 1)
+    return spark.read.parquet(path).groupBy(label.alias("label")).agg(F.count("*").alias("c"))
+
+
 @runs("json_rows", "select '{\"n\":{\"_id\":' || r_regionkey || ',\"_labels\":[\"Region\"],\"_properties\":{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}}}' as value from region")
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.export import json_rows
