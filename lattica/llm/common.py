@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 SLICE_ROWS = 512
 #: Bytes of an Arrow batch, about: long texts don't come ten thousand at a time.
 BATCH_BYTES = 8 << 20
+#: Rows from which a key can be hot, and the most keys that count as hot.
+HOT_ROWS, HOT_KEYS = 100, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,19 +33,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where no cluster names it (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends there, so lost executors
-    cost no recomputation beyond it. The files go when the driver exits."""
+    cost no recomputation beyond it. The files go when the driver exits, or when they are dropped."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of materialised tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -54,6 +66,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and, in column ``n``, how many rows of ``left``
+    have it. Keys with more than 1 / HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are broadcast, so
+    that no key's rows gather in one task. Both sides are read twice: they should be tables."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = right.filter(F.col(n) > most).drop(n), right.filter(F.col(n) <= most).drop(n)
+    there = left.join(F.broadcast(hot), key)
+    return there.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches hold BATCH_BYTES at most and whose workers can import this package."""
     ship(df.sparkSession)
@@ -121,17 +144,15 @@ def map_slices(df: DataFrame, schema: str | T.StructType, work: Callable[[dict[s
     return small_batches(df).select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(lean(run), kind)
 
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but ASCII white space, as UTF-8; bytes.split() cuts at exactly \\x20 and \\x09-\\x0D."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether crc32 of the id as text is divisible by five: these rows never teach a model."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by five: these rows never teach a model, nor do rows without an
+    id, which count as held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 #: All tables of hashes in this process.

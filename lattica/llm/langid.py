@@ -1,12 +1,13 @@
 """Language identification: multinomial logistic regression over TF-IDF weighted character n-grams.
 
 N-grams of one to three code points of the lower-cased text are hashed to ``DIMENSIONS`` columns. Document
-frequencies count every learning row. The weights are learned on a bounded sample of rows by the
+frequencies count every row with a text and a label. The weights are learned on a bounded sample of rows by the
 follow-the-regularised-leader rule with an elastic-net penalty, which leaves most of them exactly zero; a temperature
 fitted on rows kept out of the sample's learning part calibrates the probabilities.
 
 A null text, or one without a letter, is ``und`` with score 0. Without any labelled row every text is. Ties go to the
-alphabetically first language. Whole texts count; other columns are never looked at.
+alphabetically first language. Repeated rows count, and are predicted, each; an empty table gives no rows. Whole texts
+count; other columns, whatever their names, are never looked at.
 """
 
 from __future__ import annotations
@@ -133,9 +134,9 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """A model from the rows of ``df``; those that teach weights are chosen by a hash of ``key``."""
-    frequency, n = document_frequencies(df, text)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
     labelled = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    frequency, n = document_frequencies(labelled, text)
+    idf = np.log((1 + n) / (1 + frequency)) + 1
     sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     languages = sorted(sizes)
     if not languages:

@@ -8,8 +8,9 @@ shapes. The network learns on a bounded sample of labelled rows; a temperature f
 calibrates its probabilities.
 
 Null and empty texts pool to zeros and are scored like any other. Repeated labels of one document count as their mean,
-rounded; null labels don't count. Without labels, every score is 0.5. Whole texts count; other columns are never
-looked at.
+rounded (a tie is 1); null labels and null ids teach nothing. Repeated rows are documents each, scored alike. Without
+labels, or on an empty table, every score is 0.5 and an empty table gives no rows. Whole texts count, in stretches that
+overlap; other columns, whatever their names, are never looked at.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ LABELLED_ROWS = 5000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-3
 #: Rows of the table of vectors that travel together.
 CHUNK = ENTRIES // 64
-#: Words handled at a time, which bounds memory for very long texts.
-STRETCH = 1 << 17
+#: Words handled at a time, which bounds memory for very long texts; words after which a task hands on its sums, which
+#: then fit 32 bits (a word adds less than 16 to any of them).
+STRETCH, MOST_WORDS = 1 << 17, 1 << 26
 #: Signs cut from the ends of words; what stands for a capital, a small letter (or any other byte above 127), a digit.
 SIGNS_AT_ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 KINDS = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c > 127 else 57 if 48 <= c <= 57 else c for c in range(256))
@@ -44,7 +46,7 @@ REPEATED = re.compile(rb"(.)\1{2,}", re.DOTALL)
 
 
 def shape_of(word: bytes) -> bytes:
-    return REPEATED.sub(rb"\1\1+", word[:64].translate(KINDS))
+    return REPEATED.sub(rb"\1\1+", word.translate(KINDS))
 
 
 def entries_of(word: bytes) -> int:
@@ -70,11 +72,12 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(rng.random((ENTRIES, SIZE)), axis=1)[:, :SIGNS], rng.choice([-1.0, 1.0], (ENTRIES, SIGNS))
 
 
-def contexts(tokens: np.ndarray, shapes: np.ndarray, doc: np.ndarray, places: np.ndarray, signs: np.ndarray, total: np.ndarray) -> None:
-    """Adds to ``total`` (entries x size) what stands around each token of the same document."""
+def contexts(tokens: np.ndarray, shapes: np.ndarray, doc: np.ndarray, places: np.ndarray, signs: np.ndarray, total: np.ndarray, first: int) -> None:
+    """Adds to ``total`` (entries x size) what stands around each token of the same document: all pairs whose earlier
+    token is one of the ``first``."""
     flat, weight = [], []
     for step in range(1, REACH + 1):
-        same = np.flatnonzero(doc[step:] == doc[:-step])
+        same = np.flatnonzero(doc[step:][:first] == doc[:-step][:first])
         for here, there in ((same, same + step), (same + step, same)):
             for kind in (tokens, shapes):
                 own, near = kind[here] * SIZE, kind[there]
@@ -87,21 +90,26 @@ def contexts(tokens: np.ndarray, shapes: np.ndarray, doc: np.ndarray, places: np
 
 def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     """Unit vectors of all entries, from all rows. Tasks add up their own texts, chunks of the table are added up
-    across tasks as they arrive, and the driver gets the table, whose size is fixed."""
+    across tasks as they arrive, and the driver gets the table, whose size is fixed. Sums are whole numbers, so they
+    don't depend on how rows are dealt to tasks."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
-        total, held, size = np.zeros(ENTRIES * SIZE), [], 0
+        total, held, size, added = np.zeros(ENTRIES * SIZE), [], 0, 0
 
         def add() -> None:
             if held:
                 tokens, shapes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
                 doc = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
                 for at in range(0, len(doc), STRETCH):
-                    part = slice(at, at + STRETCH)
-                    contexts(tokens[part], shapes[part], doc[part], places, signs, total)
+                    part = slice(at, at + STRETCH + REACH)  # pairs may end in the next stretch
+                    contexts(tokens[part], shapes[part], doc[part], places, signs, total, STRETCH)
                 held.clear()
 
+        def table() -> pa.RecordBatch:
+            rows = total.astype(np.int32).reshape(-1, CHUNK * SIZE)
+            return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["chunk", "sums"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for t in batch.column(0).slice(at, 256).to_pylist():
@@ -109,17 +117,19 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
                     size += len(held[-1][0])
                     if size >= STRETCH:
                         add()
-                        size = 0
+                        size, added = 0, added + size
+                        if added >= MOST_WORDS:
+                            yield table()
+                            total[:], added = 0, 0
         add()
         if total.any():
-            table = total.astype(np.float32).reshape(-1, CHUNK * SIZE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(table)), pa.int32()), pa.array([x.tobytes() for x in table], pa.binary())], names=["chunk", "sums"])
+            yield table()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                x = np.frombuffer(batch.column(1)[k].as_py(), np.float32).astype(np.float64)
+                x = np.frombuffer(batch.column(1)[k].as_py(), np.int32).astype(np.int64)
                 total[c] = total[c] + x if (c := batch.column(0)[k].as_py()) in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "sums"])
 
@@ -127,7 +137,7 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     sums = small_batches(df).select(F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(lean(gather), schema)
     out = np.zeros((ENTRIES // CHUNK, CHUNK * SIZE))
     for r in sums.repartition(ENTRIES // CHUNK // 4, "chunk").mapInArrow(lean(add_up), schema).collect():
-        out[r.chunk] = np.frombuffer(r.sums, np.float64)
+        out[r.chunk] = np.frombuffer(r.sums, np.int64)
     out = out.reshape(ENTRIES, SIZE)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
@@ -192,14 +202,15 @@ def fit(df: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text"
         return vectors, None
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
     chosen = known.filter(draw < rows / n)  # about `rows` small rows whatever the table's size
-    some = df.select(key, text).join(F.broadcast(chosen), key)
+    some = df.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key)
     sent = df.sparkSession.sparkContext.broadcast(vectors)
 
     def work(part: dict[str, list]) -> dict[str, list]:
-        return {"k": part[key], "y": part["__y"], "x": [pooled(t, sent.value) for t in part[text]]}
+        return {"k": part["__k"], "h": part["__h"], "y": part["__y"], "x": [pooled(t, sent.value) for t in part["__text"]]}
 
-    got = map_slices(some, "k string, y double, x array<double>", work, [key, "__y", text]) if dict(df.dtypes)[key] == "string" else map_slices(some, "k long, y double, x array<double>", work, [key, "__y", text])
-    found = got.toPandas().sort_values("k", kind="stable")
+    shown = some.select(F.col(key).cast("string").alias("__k"), F.xxhash64(text).alias("__h"), "__y", F.col(text).alias("__text"))
+    got = map_slices(shown, "k string, h long, y double, x array<double>", work, ["__k", "__h", "__y", "__text"])
+    found = got.toPandas().sort_values(["k", "h"], kind="stable")
     if not len(found):
         return vectors, None
     net = Network(2 * SIZE)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, map_slices, materialise, words_of
+from .common import drop, join_counted, lean, map_slices, materialise, words_of
 from .components import connected, local_roots
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -183,13 +183,16 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bin_rows: int = BIN_ROW
 
 
 def cluster(df: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, component_id) for every row."""
+    """(key, fp, component_id) for every row. Neither the copies of a text nor the fingerprints of a component gather
+    in one task."""
     own = materialise(fingerprints(df, text, key))
-    distinct = materialise(own.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = materialise(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     roots = connected(links(distinct, max_bits))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(names, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    rooted = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    names = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
+    named = materialise(join_counted(rooted.select("fp", "n", "root"), names, "root", "m").select("fp", "n", "component_id"))
+    drop(rooted, names, distinct)
+    return join_counted(own, named, "fp").select(key, "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp") -> F.Column:

@@ -4,15 +4,18 @@ Every document is cut into non-overlapping blocks of half a window. Their hashes
 beside a second one for blocks that more than one document has. Every rolling window of a block's length probes it: a
 window of ``WINDOW`` words that two documents share holds a whole block of either, so in both documents one of its
 probes hits (at a document's own blocks, the second table decides). Hits are extended to the windows around them, and
-these are compared exactly, by 64-bit hashes: each window's smallest document is found, and overlapping windows that
-a smaller document has join to maximal repeats.
+these are compared by two hashes of 64 bits each: each window's smallest document is found, and overlapping windows
+that a smaller document has join to maximal repeats.
 
 The table is a filter: however full it gets, it can only let through windows that turn out not to repeat, so results
-don't depend on its size. It is the only thing sent to all executors.
-
-Words are the runs of anything but ASCII white space. Null texts have none. Rows that repeat a document's id are parts
-of one document and don't make each other repeats; rows with a null id are left whole and count for no other. Texts
-shorter than a window are left whole. Other columns are ignored; empty tables give none.
+don't depend on its size. It is the only thing sent to all executors. Windows meet in boxes whose number grows with
+the words, so that a box stays as large as it is; documents and what goes of them are dealt by id, sorted and read as
+a stream, so that a worker holds one document at a time.
+
+Words are the runs of anything but ASCII white space. Null and empty texts have none. Rows that repeat a document's id
+are parts of one document and don't make each other repeats; rows with a null id are left whole and count for no
+other. Texts shorter than a window are left whole; very long ones are treated like any other. Other columns, whatever
+their names, are ignored unless ``row`` asks for them; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,33 +29,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Hashes, lean, release, small_batches, words_of
+from .common import Hashes, lean, small_batches, words_of
 
 WINDOW = 50
 BLOCK = WINDOW // 2
 #: The anchor tables: chunks, bits of a chunk as a power of two (2**28 bits in each table), bits set by a block.
 CHUNKS, CHUNK_BITS, PROBES = 512, 19, 3
-#: Words gathered before a worker hands on what it has.
-GATHER = 1 << 20
+#: Words gathered before a worker hands on what it has; words, of all documents, for each box that windows meet in, and
+#: for each part that documents are dealt to.
+GATHER, BOX_WORDS, PART_WORDS = 1 << 20, 1 << 20, 1 << 25
 
 _words = Hashes(lambda w: xxhash.xxh64_intdigest(w, 1))
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The bases of the two hashes, and their powers and inverse powers.
+_BASES = (np.uint64(0x9E3779B97F4A7C15 | 5), np.uint64(0xC2B2AE3D27D4EB4F | 5))
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size, inverse = 1 << (n - 1).bit_length(), np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, step in enumerate((_BASE, inverse)):
-            _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, step)]), dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse modulo 2**64."""
+    known, base = _powers[which], _BASES[which]
+    if len(known[0]) < n:
+        size, inverse = 1 << (n - 1).bit_length(), np.uint64(pow(int(base), -1, 2**64))
+        for k, step in enumerate((base, inverse)):
+            known[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, step)]), dtype=np.uint64)
+    return known[0][:n], known[1][:n]
 
 
-def rolling(words: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+def rolling(words: np.ndarray, widths: tuple[int, ...], which: int = 0) -> list[np.ndarray]:
     """Hashes of all runs of so many word hashes."""
-    up, down = powers(len(words) + 1)
+    up, down = powers(len(words) + 1, which)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[:-1], dtype=np.uint64)])
     out = []
     for width in widths:
@@ -63,6 +70,13 @@ def rolling(words: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
+def window_hashes(words: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Both hashes of all windows, a row for each; ``bits``: those kept of the first one (all, but in tests)."""
+    mixed = (words ^ (words >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    first, second = rolling(words, (WINDOW,))[0], rolling(mixed ^ (mixed >> np.uint64(29)), (WINDOW,), 1)[0]
+    return np.stack([first >> np.uint64(64 - bits), second], 1)
+
+
 def slots(h: np.ndarray) -> list[np.ndarray]:
     """The bits of a block's hash, as places within its chunk."""
     mask = np.uint64((1 << CHUNK_BITS) - 1)
@@ -89,11 +103,11 @@ def _parcels(h: np.ndarray, doc: np.ndarray, box: np.ndarray) -> pa.RecordBatch:
     h, doc, box = h[order], doc[order], box[order]
     edge = np.flatnonzero(np.diff(box)) + 1
     cuts = list(zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(box)]]), strict=True)) if len(box) else []
-    arrays = [pa.array([int(box[s]) for s, _ in cuts], pa.int32()), pa.array([h[s:e].tobytes() for s, e in cuts], pa.binary()), pa.array([doc[s:e].tobytes() for s, e in cuts], pa.binary())]
+    arrays = [pa.array([int(box[s]) for s, _ in cuts], pa.int64()), pa.array([h[s:e].tobytes() for s, e in cuts], pa.binary()), pa.array([doc[s:e].tobytes() for s, e in cuts], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=["box", "hashes", "docs"])
 
 
-PARCEL = "box int, hashes binary, docs binary"
+PARCEL = "box long, hashes binary, docs binary"
 
 
 def _parcels_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,24 +116,19 @@ def _parcels_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.nda
             yield box, np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64)
 
 
-def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Everything of one box after the other, from parcels that come sorted by box."""
-    for box, parcels in groupby(_parcels_in(batches), key=lambda p: p[0]):
-        own = list(parcels)
-        yield box, np.concatenate([h for _, h, _ in own]), np.concatenate([d for *_, d in own])
-
-
-def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two bit tables: blocks of any document, blocks of several. ``df``: id, text."""
+def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The two bit tables: blocks of any document, blocks of several; and the words of all documents of a window or
+    more. ``df``: id, text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, total = [], 0, 0
 
         def hand_on() -> pa.RecordBatch:
             h, doc = np.concatenate([x for _, x in held]), np.repeat(np.array([k for k, _ in held], np.int64), [len(x) for _, x in held])
             return _parcels(h, doc, chunk_of(h))
 
         for key, words in _texts(batches):
+            total += len(words)
             held.append((key, np.unique(rolling(words, (BLOCK,))[0][::BLOCK])))
             size += len(held[-1][1])
             if size >= GATHER // 4:
@@ -127,16 +136,20 @@ def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 held, size = [], 0
         if held:
             yield hand_on()
+        yield _parcels(np.array([total], np.uint64), np.zeros(1, np.int64), np.array([CHUNKS]))  # no chunk: a count
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bits of one chunk after the other; parcels are taken in as they come."""
         now, low, high = None, np.zeros(0), np.zeros(0)
 
         def bits() -> pa.RecordBatch:
-            arrays = [pa.array([now], pa.int32()), *(pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (low <= high, low < high))]
+            arrays = [pa.array([now], pa.int64()), *(pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (low <= high, low < high))]
             return pa.RecordBatch.from_arrays(arrays, names=["box", "hashes", "docs"])
 
         for box, h, doc in _parcels_in(batches):
+            if box == CHUNKS:
+                yield _parcels(h, doc, np.array([CHUNKS]))
+                continue
             if box != now:
                 if now is not None:
                     yield bits()
@@ -148,9 +161,13 @@ def anchors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield bits()
 
     some, several = (np.zeros((CHUNKS, 1 << CHUNK_BITS - 3), np.uint8) for _ in range(2))
+    total = 0
     for r in df.mapInArrow(lean(cut), PARCEL).repartition(64, "box").sortWithinPartitions("box").mapInArrow(lean(collect), PARCEL).toLocalIterator():
-        some[r.box], several[r.box] = np.frombuffer(r.hashes, np.uint8), np.frombuffer(r.docs, np.uint8)
-    return some.ravel(), several.ravel()
+        if r.box == CHUNKS:
+            total += int(np.frombuffer(r.hashes, np.uint64)[0])
+        else:
+            some[r.box], several[r.box] = np.frombuffer(r.hashes, np.uint8), np.frombuffer(r.docs, np.uint8)
+    return some.ravel(), several.ravel(), total
 
 
 def holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -161,19 +178,51 @@ def holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(words: np.ndarray, some: np.ndarray, several: np.ndarray) -> np.ndarray:
+def candidates(words: np.ndarray, some: np.ndarray, several: np.ndarray, bits: int = 64) -> np.ndarray:
     """Hashes of the windows around the places where a probe hits a block of another document."""
-    probes, windows = rolling(words, (BLOCK, WINDOW))
+    (probes,) = rolling(words, (BLOCK,))
     hit = holds(some, probes)
     hit[::BLOCK] = holds(several, probes[::BLOCK])
     before = np.concatenate([[0], np.cumsum(hit)])
-    n = len(windows)
-    return np.unique(windows[before[WINDOW - BLOCK + 1 :][:n] > before[:n]])
+    n = len(words) - WINDOW + 1
+    near = before[WINDOW - BLOCK + 1 :][:n] > before[:n]
+    return different(window_hashes(words, bits)[near]) if near.any() else np.zeros((0, 2), np.uint64)
+
+
+def different(h: np.ndarray) -> np.ndarray:
+    """The windows, sorted, without repeats."""
+    h = h[np.lexsort((h[:, 1], h[:, 0]))]
+    return h[np.concatenate([[True], (h[1:] != h[:-1]).any(1)])] if len(h) else h
+
+
+def ordered(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By window and document."""
+    order = np.lexsort((doc, h[:, 0]))
+    a, b = h[order, 0], h[order, 1]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # windows that differ in the second hash only
+        order = np.lexsort((doc, h[:, 1], h[:, 0]))
+    return h[order], doc[order]
+
+
+def repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same window; by window and document."""
+    first = np.concatenate([[True], (h[1:] != h[:-1]).any(1)])
+    return doc > doc[first][np.cumsum(first) - 1]
+
+
+def _by_document(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    order = np.argsort(doc, kind="stable")
+    return _parcels(h[order], doc[order], doc[order])
 
 
-def repeats(df: DataFrame, boxes: int) -> DataFrame:
-    """Parcels (box of the document, hashes, docs) of the windows that a smaller document has. ``df``: id, text."""
-    sent = df.sparkSession.sparkContext.broadcast(anchors(df))
+def repeats(df: DataFrame, bits: int = 64) -> tuple[DataFrame, int]:
+    """(key, hashes): the windows of a document that a smaller one has, in a row or several; and the words of all
+    documents. ``df``: id, text."""
+    *tables, total = anchors(df)
+    sent = df.sparkSession.sparkContext.broadcast(tables)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxes = max(4 * partitions + 1, total // BOX_WORDS + 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, several = sent.value
@@ -182,13 +231,11 @@ def repeats(df: DataFrame, boxes: int) -> DataFrame:
         def hand_on() -> pa.RecordBatch:
             """Of each window, the smallest document goes to the window's box; the others, which repeat it, go straight
             to their documents', under negative numbers. So a box gets a window once from each of these calls."""
-            h, doc = np.concatenate([x for _, x in held]), np.repeat(np.array([k for k, _ in held], np.int64), [len(x) for _, x in held])
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            return _parcels(h, doc, np.where(_repeated(h, doc), -1 - doc % boxes, (h % np.uint64(boxes)).astype(np.int64)))
+            h, doc = ordered(np.concatenate([x for _, x in held]), np.repeat(np.array([k for k, _ in held], np.int64), [len(x) for _, x in held]))
+            return _parcels(h, doc, np.where(repeated(h, doc), -1 - doc % boxes, ((h[:, 0] ^ h[:, 1]) % np.uint64(boxes)).astype(np.int64)))
 
         for key, words in _texts(batches):
-            if len(found := candidates(words, some, several)):
+            if len(found := candidates(words, some, several, bits)):
                 held.append((key, found))
                 size += len(found)
             if size >= GATHER:
@@ -199,73 +246,78 @@ def repeats(df: DataFrame, boxes: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for box, h, doc in _boxes(batches):
-            if box >= 0:
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                again = _repeated(h, doc)
-                h, doc = h[again], doc[again]
-            held.append((h, doc))
-            size += len(h)
-            if size >= GATHER:
-                yield _to_documents(held, boxes)
-                held, size = [], 0
+        for box, parcels in groupby(_parcels_in(batches), key=lambda p: p[0]):
+            # what goes straight to documents is handed on as it comes; a window's box is compared as a whole
+            for h, doc in [_join(list(parcels))] if box >= 0 else ((h.reshape(-1, 2), doc) for _, h, doc in parcels):
+                if box >= 0:
+                    h, doc = ordered(h, doc)
+                    again = repeated(h, doc)
+                    h, doc = h[again], doc[again]
+                held.append((h, doc))
+                size += len(h)
+                if size >= GATHER:
+                    yield _by_document(held)
+                    held, size = [], 0
         if size:
-            yield _to_documents(held, boxes)
+            yield _by_document(held)
 
-    return df.mapInArrow(lean(probe), PARCEL).repartition("box").sortWithinPartitions("box").mapInArrow(lean(compare), PARCEL)
+    met = df.mapInArrow(lean(probe), PARCEL).repartition(max(partitions, total // PART_WORDS), "box").sortWithinPartitions("box").mapInArrow(lean(compare), PARCEL)
+    return met.select(F.col("box").alias("key"), "hashes"), total
 
 
-def _repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same window; sorted by window and document."""
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    return doc > doc[first][np.cumsum(first) - 1]
+def _join(parcels: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([h for _, h, _ in parcels]).reshape(-1, 2), np.concatenate([d for *_, d in parcels])
 
 
-def _to_documents(held: list[tuple[np.ndarray, np.ndarray]], boxes: int) -> pa.RecordBatch:
-    h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-    order = np.argsort(doc, kind="stable")
-    return _parcels(h[order], doc[order], doc[order] % boxes)
-
-
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row: bool = False, bits: int = 64) -> DataFrame:
     """(key, n_words, n_removed, removed, kept) for every row: removed holds the starts and ends, in words, of the
     maximal repeats that go; kept is what stays, words joined by one space. ``row``: beside them the whole row of
     ``df``, as a struct column."""
-    spark = df.sparkSession
-    boxes = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     docs = small_batches(df).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.struct("*").alias("row")] * row)
-    found = repeats(docs.select("key", "text"), boxes)
-    kinds = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept", pa.string())])
-
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, doc = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("docs", np.int64)))
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        out: dict[str, list] = {f.name: [] for f in kinds}
-        for batch in left.select(["key", "text"]).to_batches(max_chunksize=512):
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(t)
-                spans, kept = [], words
-                if k is not None and (s := np.searchsorted(doc, k, "left")) < (e := np.searchsorted(doc, k, "right")):
-                    spans, kept = _without(words, h[s:e])
-                for c, v in zip(out, (k, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
-                    out[c].append(v)
-        release()
-        made = pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
-        return made.append_column("row", left.column("row")) if row else made
-
-    box = F.coalesce(F.pmod(F.col("key"), F.lit(boxes)), F.lit(0)).cast("int")
-    both = docs.withColumn("box", box).groupBy("box").cogroup(found.groupBy("box"))
+    found, total = repeats(docs.select("key", "text"), bits)
     schema = T.StructType.fromDDL("key long, n_words long, n_removed long, removed array<int>, kept string")
-    got = both.applyInArrow(cut, schema.add("row", df.schema) if row else schema)
-    return got.withColumnRenamed("key", key)
+    kinds = to_arrow_schema(schema)
+    if row:
+        schema = schema.add("row", df.schema)
 
-
-def _without(words: list[bytes], gone: np.ndarray) -> tuple[list[int], list[bytes]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's windows come before its text."""
+        now, gone = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column("row").field(text) if row else part.column("text")
+                out: dict[str, list] = {f.name: [] for f in kinds}
+                own = []
+                for i, (k, windows, t) in enumerate(zip(part.column("key").to_pylist(), part.column("hashes").to_pylist(), texts.to_pylist(), strict=True)):
+                    if windows is not None:
+                        now, gone = k, [*(gone if k == now else ()), windows]
+                        continue
+                    words = words_of(t)
+                    spans, kept = without(words, np.frombuffer(b"".join(gone), np.uint64).reshape(-1, 2), bits) if k is not None and k == now else ([], words)
+                    own.append(i)
+                    for c, v in zip(out, (k, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
+                        out[c].append(v)
+                made = [pa.array(out[f.name], f.type) for f in kinds]
+                if row:
+                    made.append(part.column("row").take(pa.array(own, pa.int32())))
+                yield pa.RecordBatch.from_arrays(made, names=schema.names)
+
+    here = docs.withColumn("hashes", F.lit(None).cast("binary"))
+    if row:
+        here = here.drop("text")
+    there = found.select(*[F.col(c) if c in found.columns else F.lit(None).cast(here.schema[c].dataType).alias(c) for c in here.columns])
+    apart = F.coalesce("key", F.xxhash64("row" if row else "text"))  # rows without an id go anywhere
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_WORDS)
+    dealt = here.unionAll(there).repartition(parts, apart).sortWithinPartitions("key", F.col("hashes").isNull())
+    return dealt.mapInArrow(lean(cut), schema).withColumnRenamed("key", key)
+
+
+def without(words: list[bytes], gone: np.ndarray, bits: int = 64) -> tuple[list[int], list[bytes]]:
     """The repeats, as starts and ends, and the other words."""
-    windows = rolling(_words.array(words), (WINDOW,))[0]
-    starts = np.flatnonzero(np.isin(windows, gone))
+    if len(words) < WINDOW:
+        return [], words
+    starts = np.flatnonzero(among(window_hashes(_words.array(words), bits), different(gone)))
     step = np.zeros(len(words) + 1, np.int64)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + WINDOW, -1)
@@ -274,6 +326,18 @@ def _without(words: list[bytes], gone: np.ndarray) -> tuple[list[int], list[byte
     return spans, [words[k] for k in np.flatnonzero(~covered)]
 
 
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether windows are among known ones, which are sorted and differ."""
+    out, at = np.zeros(len(h), bool), np.searchsorted(known[:, 0], h[:, 0])
+    if not len(known):
+        return out
+    same = np.flatnonzero(np.concatenate([[True], known[1:, 0] != known[:-1, 0], [True]]))
+    for step in range(int(np.diff(same).max())):  # known windows of one first hash; one, but for collisions
+        spot = np.minimum(at + step, len(known) - 1)
+        out |= (known[spot] == h).all(1)
+    return out
+
+
 #: DuckDB SQL over documents (doc_id, text): the digests of what stays, from all windows.
 DIGEST_SQL = """
 with d as (

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from brute_force import slow_components, slow_fingerprint, slow_repeats
 
 from lattica.llm import components, queries, simhash, substring
@@ -59,6 +60,34 @@ def test_substring_planted_and_odd_rows(spark):
     df = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id long, text string, kept string")
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring.remove_repeats(df).collect()}
     assert got == slow_repeats(docs)
+    for bits in (1, 3):  # nearly all windows collide in the first hash
+        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring.remove_repeats(df, bits=bits).collect()}
+        assert got == slow_repeats(docs)
     again = substring.remove_repeats(spark.createDataFrame([(1, p[4]), (1, p[4]), (None, p[4])], "doc_id long, text string")).collect()
     assert [r.n_removed for r in again] == [0, 0, 0]
     assert substring.remove_repeats(df.filter("false")).count() == 0
+
+
+def test_windows_that_collide_in_one_hash():
+    h = np.array([[1, 5], [1, 4], [1, 5], [2, 4], [1, 5]], np.uint64)
+    doc = np.array([3, 1, 2, 0, 2])
+    assert substring.different(h).tolist() == [[1, 4], [1, 5], [2, 4]]
+    sorted_, docs = substring.ordered(h, doc)
+    assert list(zip(map(tuple, sorted_.tolist()), docs.tolist(), substring.repeated(sorted_, docs).tolist())) == [((1, 4), 1, False), ((1, 5), 2, False), ((1, 5), 2, False), ((1, 5), 3, True), ((2, 4), 0, False)]
+    assert substring.among(h, substring.different(h[[0, 3]])).tolist() == [True, False, True, True, True]
+    assert substring.among(h, h[:0]).tolist() == [False] * 5
+
+
+def test_rows_without_ids_and_boxes(spark, monkeypatch):
+    """Boxes and parts that grow with the words, rows without ids, and whole rows beside what is found."""
+    monkeypatch.setattr(substring, "BOX_WORDS", 50)
+    monkeypatch.setattr(substring, "PART_WORDS", 700)
+    rng = random.Random(4)
+    shared = [" ".join("".join(rng.choices("abcd", k=5)) for _ in range(60)) for _ in range(5)]
+    docs = [(k if k % 3 else None, f"{shared[k % 5]} own{k} {shared[(k + k // 5) % 5]}", "x") for k in range(45)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row string")
+    got = substring.remove_repeats(df, row=True).collect()
+    want = slow_repeats([(k, t) for k, t, _ in docs if k is not None])
+    assert len(got) == len(docs) and all(r.row.text in {t for k, t, _ in docs if k == r.doc_id} and r.row.row == "x" for r in got)
+    assert all((r.n_removed, r.kept) == (0, " ".join(r.row.text.split())) for r in got if r.doc_id is None)
+    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got if r.doc_id is not None} == want
