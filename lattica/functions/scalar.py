@@ -6,6 +6,7 @@ is null, as the language has it; unknown names are errors of the analyser.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,7 +17,8 @@ from .typed import MISSING, Typed, cast, common, comparable, double, equal, fiel
 
 Builder = Callable[..., Typed]
 FUNCTIONS: dict[str, tuple[Builder, int, int]] = {}
-MOST = 99
+#: Arguments of functions that take any number of them.
+MOST = sys.maxsize
 
 
 def function(*names: str, least: int = 1, most: int | None = None) -> Callable[[Builder], Builder]:

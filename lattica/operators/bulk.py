@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.typed import MISSING, Typed, common, is_null
+from ..functions.typed import MISSING, Typed, common, equal, is_null
 from ..graph import label_set
 from ..plans import syntax as s
 from .expressions import Scope, lower
@@ -126,8 +126,8 @@ def pinned(m: Matcher, clauses: tuple[s.Node, ...]) -> bool:
         schema = T.StructType([T.StructField("__name", T.StringType())] + [T.StructField(f"__{k}", items[0][1][k].type) for k in names])
         wanted = m.graph.spark.createDataFrame([(n, *(v[k].value for k in names)) for n, v in items], schema)
         test = F.lit(True)
-        for k in names:
-            test = test & (table[f"`{k}`"] == wanted[f"`__{k}`"])
+        for k in names:  # equal as the language has it: text is never a number
+            test = test & equal(Typed(table[f"`{k}`"], table.schema[k].dataType), Typed(wanted[f"`__{k}`"], wanted.schema[f"__{k}"].dataType))
         met = table.join(F.broadcast(wanted), test).groupBy("__name").agg(F.min("_id").alias("id"), F.count("*").alias("n"))
         found = {r["__name"]: (r["id"], r["n"]) for r in met.select("__name", col("id"), "n").collect()}  # a row per lookup of the statement
         if any(n not in found for n, _ in items):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +12,19 @@ from pyspark.sql.window import Window
 from ..errors import NotImplementedFeature, QueryRuntimeError, SemanticError
 from ..lineage import materialise
 from ..plans import syntax as s
+from .expressions import names_in
 from .frame import Entity, Frame, Value, col, entity_frame
 from .match import MOST_HOPS, UNROLLED, Matcher
 
 
+#: Ends up to which a search keeps count of those that each source has reached.
+FEW_ENDS = 10_000
+
+
 def _levels(m: Matcher, start: DataFrame, p: s.RelPattern, vars_: dict, backwards: bool, own: str, want_nodes: bool, low: int, high: int | None):
     """Yields (depth, level): ``start`` with columns {own}cur, {own}ids, {own}rels, {own}nodes for every walk of so
-    many edges, none twice. Levels of unbounded or long walks are written out, and the last is empty."""
+    many edges, none twice. Levels of unbounded or long walks are written out, and end with an empty one; a bound that is
+    given holds in full, without one paths that go on after MOST_HOPS are an error."""
     long_walk = high is None or high > UNROLLED
     rel_kind, node_kind = None, None
     edges, e, enter, leave = m.oriented(p, backwards, f"{own}e")
@@ -31,11 +39,9 @@ def _levels(m: Matcher, start: DataFrame, p: s.RelPattern, vars_: dict, backward
         level = level.withColumn(f"{own}nodes", F.array().cast(node_kind))
     kept = level.columns
     yield 0, level
-    for depth in range(1, (MOST_HOPS if high is None else high) + 2):
+    for depth in count(1):
         if high is not None and depth > high:
             return
-        if depth > MOST_HOPS:
-            raise QueryRuntimeError(f"paths go on after {MOST_HOPS} hops: give an upper bound")
         step = level.join(edges, col(f"{own}cur") == col(enter)).filter(~F.array_contains(f"{own}ids", col(e.id)))
         if p.properties:
             found = m.with_properties(Frame(step, vars_ | {"__edge": e}), "__edge", p.properties)
@@ -49,14 +55,14 @@ def _levels(m: Matcher, start: DataFrame, p: s.RelPattern, vars_: dict, backward
             level = materialise(level)
             if level.isEmpty():
                 return
+        if high is None and depth > MOST_HOPS:
+            raise QueryRuntimeError(f"paths go on after {MOST_HOPS} hops: give an upper bound")
         yield depth, level
 
 
 def walk_edges(m: Matcher, frame: Frame, p: s.RelPattern, near: str, q: s.NodePattern, far: str, backwards: bool, want_path: bool, name: str) -> Frame:
     """From ``near`` over low to high edges, no edge twice; ``name`` is bound to the list of them."""
     low, high = 1 if p.low is None else p.low, p.high
-    if high is not None and high > MOST_HOPS:
-        high = None
     own = m.names.fresh("walk")
     at = m.id_of(frame, near)
     apart = high is None or high > UNROLLED
@@ -154,62 +160,93 @@ def _reshaped(shaped, have: dict):
 
 def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     """One breadth-first search from all sources at once, level by level; nodes seen by a source at a smaller depth are
-    left out. Pairs get one path (the one with the smallest edge ids) or all of the first depth that reaches them."""
+    left out. Pairs get one path (the one with the smallest edge ids) or all of the first depth that reaches them. An
+    end that isn't bound yet is joined on arrival: the product of both ends is never made."""
     if len(p.rels) != 1 or not p.rels[0].variable_length:
         raise SemanticError("a shortest path has one relationship of variable length")
-    if p.rels[0].properties:
-        raise NotImplementedFeature("shortest paths take no properties of relationships")
     r, own = p.rels[0], m.names.fresh("short")
+    if any(names_in(v) for _, v in r.properties):
+        raise NotImplementedFeature("properties of a shortest path's relationships are constants")
     a, b = (n.name or m.names.fresh("n") for n in p.nodes)
-    frame = m.node(frame, p.nodes[0], a)
-    frame = m.early(m.node(frame, p.nodes[1], b))  # fewer pairs to search for
+    frame = m.early(m.node(frame, p.nodes[0], a))
     low, high = 1 if r.low is None else r.low, r.high
     pair = [f"{own}a", f"{own}b"]
-    pairs = materialise(frame.df.select(col(m.id_of(frame, a)).alias(pair[0]), col(m.id_of(frame, b)).alias(pair[1])).distinct())
-    start = pairs.select(pair[0]).distinct().withColumn(f"{own}cur", col(pair[0]))
+    targets = None
+    if b not in frame.vars and not any(names_in(v) for _, v in p.nodes[1].properties):
+        unit = Frame(m.graph.spark.range(1).select(), {}, True)
+        targets = m.early(m.node(unit, p.nodes[1], b))
+        sources = materialise(frame.df.select(col(m.id_of(frame, a)).alias(pair[0])).distinct())
+        ends = materialise(targets.df.select(col(m.id_of(targets, b)).alias(pair[1])).distinct())
+        each = ends.count()
+        on = [f"{own}cur"]
+    else:
+        frame = m.early(m.node(frame, p.nodes[1], b))  # fewer pairs to search for
+        ends = materialise(frame.df.select(col(m.id_of(frame, a)).alias(pair[0]), col(m.id_of(frame, b)).alias(pair[1])).distinct())
+        sources = ends.select(pair[0]).distinct()
+        each = None
+        on = [pair[0], f"{own}cur"]
+    ends = ends.withColumn(f"{own}cur", col(pair[1]))
+    start = sources.withColumn(f"{own}cur", col(pair[0]))
     edges, e, enter, leave = m.oriented(r, False, f"{own}e")
+    if r.properties:
+        edges = m.with_properties(Frame(edges, {"__edge": e}), "__edge", r.properties).df
     rel = F.struct(*[col(e.column(n)).alias(n) for n, _ in e.fields])
     rel_kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in e.fields]))
+    kept = [f"{own}cur", f"{own}ids", f"{own}rels", f"{own}steps"]
     level = start.withColumns({f"{own}ids": F.array().cast("array<bigint>"), f"{own}rels": F.array().cast(rel_kind), f"{own}steps": F.array().cast("array<bigint>")})
     seen = start.select(pair[0], f"{own}cur") if low <= 1 else None
-    open_, hits = pairs, []
-    for depth in range(0, (MOST_HOPS + 1 if high is None else high) + 1):
+    hits: list[DataFrame] = []
+    tracked = each is None or each <= FEW_ENDS  # else sources that have reached all ends are only looked for at the limit
+
+    def open_(level: DataFrame) -> DataFrame:
+        """Without the sources that have reached all their ends."""
+        if not hits:
+            return level
+        reached = _all(hits).join(ends, on).select(*pair).distinct()
+        if each is None:
+            return level.join(ends.join(reached, pair, "left_anti").select(pair[0]).distinct(), pair[0], "left_semi")
+        done = reached.groupBy(pair[0]).agg(F.count("*").alias("__n")).filter(col("__n") == each)
+        return level.join(done.select(pair[0]), pair[0], "left_anti")
+
+    for depth in count():
+        if high is not None and depth > high:
+            break
         if depth:
             step = level.join(edges, col(f"{own}cur") == col(enter)).filter(~F.array_contains(f"{own}ids", col(e.id)))
             step = step.withColumns({f"{own}cur": col(leave), f"{own}ids": F.array_append(f"{own}ids", col(e.id)), f"{own}rels": F.array_append(f"{own}rels", rel), f"{own}steps": F.array_append(f"{own}steps", col(leave))})
-            level = step.select(pair[0], f"{own}cur", f"{own}ids", f"{own}rels", f"{own}steps")
+            level = step.select(pair[0], *kept)
             if seen is not None:
                 level = level.join(seen, [pair[0], f"{own}cur"], "left_anti")
-            if p.shortest == "single":
+            if p.shortest == "single" and seen is not None:
                 first = Window.partitionBy(pair[0], f"{own}cur").orderBy(f"{own}ids")
-                level = level.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k") if seen is not None else level
+                level = level.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
             level = materialise(level)
             if level.isEmpty():
                 break
-            if high is None and depth > MOST_HOPS:  # pairs are open, else the search had ended
+            if high is None and depth > MOST_HOPS:
+                if open_(level).isEmpty():
+                    break
                 raise QueryRuntimeError(f"shortest paths go on after {MOST_HOPS} hops: give an upper bound")
             if seen is not None:  # a union of what is written already
                 seen = seen.unionAll(level.select(pair[0], f"{own}cur"))
-        if depth >= low:
-            if seen is None and depth:
-                seen = level.select(pair[0], f"{own}cur").distinct()
-            here = level.join(open_, (level[pair[0]] == open_[pair[0]]) & (col(f"{own}cur") == col(pair[1]))).drop(open_[pair[0]])
-            found = here.select(*pair, f"{own}ids", f"{own}rels", f"{own}steps")
+        if depth < low:
+            continue
+        if seen is None:
+            seen = level.select(pair[0], f"{own}cur").distinct()
+        if not tracked:
+            hits.append(level.select(pair[0], *kept))
+            continue
+        found = materialise(level.join(ends, on, "left_semi").select(pair[0], *kept))
+        if not found.isEmpty():
             hits.append(found)
-            open_ = materialise(open_.join(found.select(*pair), pair, "left_anti"))
-            if open_.isEmpty():
-                break
-            level = level.join(open_.select(pair[0]).distinct(), pair[0], "left_semi")
-    out = None
-    for h in hits:
-        out = h if out is None else out.unionAll(h)
-    if out is None:
-        out = level.withColumn(pair[1], F.lit(0).cast("long")).filter(F.lit(False)).select(*pair, f"{own}ids", f"{own}rels", f"{own}steps")
+            level = open_(level)
+    out = (_all(hits) if hits else level.filter(F.lit(False))).join(ends, on).select(*pair, *kept[1:])
     if p.shortest == "single":
         first = Window.partitionBy(*pair).orderBy(f"{own}ids")
         out = out.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
-    test = (col(m.id_of(frame, a)) == col(pair[0])) & (col(m.id_of(frame, b)) == col(pair[1]))
-    new = frame.keep(frame.df.join(out, test))
+    new = frame.keep(frame.df.join(out, (col(m.id_of(frame, a)) == col(pair[0])) & (F.lit(True) if targets else col(m.id_of(frame, b)) == col(pair[1]))))
+    if targets:
+        new = new.bind(new.df.join(targets.df, col(pair[1]) == col(m.id_of(targets, b))), **{b: targets.vars[b]})
     if r.name:
         new = new.bind(new.df, **{r.name: Value(f"{own}rels", rel_kind)})
     if p.name:
@@ -217,6 +254,13 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     return new
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
+
+
 def _hydrate(m: Matcher, frame: Frame, name: str, start: str, rels: str, steps: str, ids: str, pair: list[str]) -> Frame:
     """A path value from node ids: nodes are looked up once for all paths."""
     paths = frame.df.select(col(start).alias("__a"), col(ids).alias("__i"), F.posexplode(F.concat(F.array(col(start)), col(steps))).alias("__k", "__n")).distinct()
