@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where no cluster names one (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """spark.checkpoint.dir. Only a local session, as in tests, may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -32,17 +35,26 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Partitions up to which their offsets are written into the plan.
+FEW_PARTITIONS = 64
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``df`` materialised, with a dense number from 0 for each row, and the count of rows. Only one number per
-    partition reaches the driver; rows are neither sorted nor moved."""
-    df = materialise(df)
-    sizes = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}
-    if not sizes:
-        return df.withColumn(name, F.lit(0).cast("long")), 0
+    """``df`` materialised, with a dense number from 0 for each row, and the count of rows. Rows are written once, with
+    their partition and place in it; one number per partition reaches the driver, and rows are neither sorted nor
+    moved."""
+    df = materialise(df.withColumn(name, F.monotonically_increasing_id()))
+    part, place = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r[0], r[1]) for r in df.groupBy(part).count().collect())
     start, offsets = 0, []
-    for k in range(max(sizes) + 1):
-        offsets.append(start)
-        start += sizes.get(k, 0)
-    offset = F.array(*map(F.lit, offsets))[F.spark_partition_id()]
-    in_partition = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return materialise(df.withColumn(name, (offset + in_partition).cast("long"))), start
+    for k, n in sizes:
+        offsets.append((k, start))
+        start += n
+    if len(offsets) <= FEW_PARTITIONS:
+        offset = F.lit(0)
+        for k, at in offsets[1:]:
+            offset = F.when(part == k, at).otherwise(offset)
+        return df.withColumn(name, (offset + place).cast("long")), start
+    known = df.sparkSession.createDataFrame(offsets, "__part long, __start long")  # a row for each partition
+    met = df.withColumn("__part", part).join(F.broadcast(known), "__part")
+    return met.withColumn(name, (F.col("__start") + place).cast("long")).select(*[f"`{c}`" for c in df.columns]), start

@@ -30,13 +30,15 @@ UNROLLED = 3
 @dataclass
 class Matcher:
     """``used``: what is used of variables besides their ids, names of properties or None for everything; unknown
-    ones count as used. ``unique``: relationships of one MATCH differ."""
+    ones count as used. ``unique``: relationships of one MATCH differ. ``later``: what the clauses after the one that
+    runs use, None for everything."""
 
     graph: PropertyGraph
     params: dict[str, Any]
     names: s.Names
     used: dict[str, set[str] | None] = field(default_factory=dict)
     unique: bool = False
+    later: dict[str, set[str] | None] | None = None
     _rels: list[str] = field(default_factory=list)
     _where: s.Node | None = None
 

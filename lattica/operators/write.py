@@ -11,7 +11,6 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..errors import QueryRuntimeError, SemanticError, TypeMismatchError
 from ..functions.typed import Typed, common, is_list, is_node, is_null, is_rel, is_struct
@@ -54,6 +53,10 @@ def appended(old: DataFrame | None, new: DataFrame) -> DataFrame:
 # -- CREATE ---------------------------------------------------------------------------------------------------------
 
 
+#: Functions that give something else each time.
+CHANGING = frozenset(["rand", "randomuuid", "uuid", "random"])
+
+
 def create(m: Matcher, frame: Frame, paths: tuple[s.PathPattern, ...], check: bool = True) -> Frame:
     """A node or relationship per row for every part of the patterns that isn't bound yet."""
     frame, n = ordered(m, frame)
@@ -97,7 +100,8 @@ def create(m: Matcher, frame: Frame, paths: tuple[s.PathPattern, ...], check: bo
             from .paths import build_path
 
             frame = build_path(m_now, frame, p, names, segments)
-    frame = frame.keep(materialise(frame.df))
+    if any(isinstance(x, s.Call) and x.name in CHANGING for p in paths for x in s.walk(p)):
+        frame = frame.keep(materialise(frame.df))  # else it follows from the numbered rows, which are written
     graph = replace(_with_new(m.graph, made, frame.df), next_node=node_id, next_edge=edge_id)
     types = {k for kind, k, _ in made if kind == "rel"}
     graph = replace(graph, ends={t: e for t, e in graph.ends.items() if t not in types})
@@ -175,50 +179,77 @@ def merge(m: Matcher, frame: Frame, c: s.Merge) -> Frame:
     mentioned = names_in(path)
     given = [x for x in frame.vars if x in mentioned]
     keys = frame.key_columns(given)
-    base = frame.df.select(*map(col, frame.columns(given)))
-    base = materialise(base.dropDuplicates(keys) if keys else base.limit(1).withColumn("__one", F.lit(1)))
+    least = [F.min(ROW).alias("__least"), *[F.first(col(c)).alias(c) for c in frame.columns(given) if c not in keys]]
+    base = materialise(frame.df.groupBy(*map(col, keys)).agg(*least))  # the first row of each key
     vars_ = {x: frame.vars[x] for x in given}
     found = m.match(Frame(base, vars_), (path,))
     new = [x.name for x in (*path.nodes, *path.rels) if x.name not in frame.vars]
     new = list(dict.fromkeys(new))
     marks = {k: f"{k}~" for k in keys}
     ids = lambda f: [col(f.vars[x].id).alias(f"{x}~id") for x in new]
-    hits = materialise(found.df.select(*[col(k).alias(v) for k, v in marks.items()], *ids(found), F.lit(False).alias("__new")))
+    hits = materialise(found.df.select(*[col(k).alias(v) for k, v in marks.items()], *ids(found), F.lit(None).cast("long").alias("__made")))
     test = null_safe([col(k) for k in keys], [col(v) for v in marks.values()]) if keys else F.lit(True)
-    missing = base.join(hits.select(*marks.values()) if keys else hits.select("__new").limit(1), test, "left_anti")
+    missing = base.join(hits.select(*map(col, marks.values())) if keys else hits.select("__made").limit(1), test, "left_anti")
     bound_nodes = tuple(s.NodePattern(x.name, (), ()) if x.name in frame.vars else x for x in path.nodes)
-    created = create(m, Frame(missing.drop("__one"), vars_), (s.PathPattern(None, bound_nodes, path.rels),), check=False)
-    fresh = created.df.select(*[col(k).alias(v) for k, v in marks.items()], *ids(created), F.lit(True).alias("__new")) if ROW in created.df.columns else None
-    every = materialise(hits.unionAll(fresh))
+    created = create(m, Frame(missing, vars_), (s.PathPattern(None, bound_nodes, path.rels),), check=False)
+    every = hits
+    if ROW in created.df.columns:
+        every = hits.unionAll(created.df.select(*[col(k).alias(v) for k, v in marks.items()], *ids(created), col("__least").alias("__made")))
     out = frame.df.join(every, test)
-    first = F.row_number().over(Window.partitionBy(*([col(v) for v in marks.values()] or [F.lit(1)])).orderBy(ROW)) == 1
-    out = materialise(out.withColumn("__first", first & col("__new")).drop(*marks.values()))
+    out = out.withColumn("__first", F.coalesce(col("__made") == col(ROW), F.lit(False))).drop(*marks.values(), "__made")
     frame = Frame(out, {k: v for k, v in frame.vars.items() if k not in hidden})
     for x in (*path.nodes, *path.rels):
         if x.name in new:
-            frame = looked_up(m, frame, x.name, "node" if isinstance(x, s.NodePattern) else "rel", f"{x.name}~id")
+            frame = looked_up(m, frame, x.name, x, f"{x.name}~id")
     frame = Frame(frame.df.drop(*hidden), frame.vars)
+    later = m.later
     if c.on_create:
+        m.later = _more(later, c.on_match)
         frame = set_items(m, frame, c.on_create, col("__first"), check=False)
+        m.later = later
     if c.on_match:
         frame = set_items(m, frame, c.on_match, ~col("__first"), check=False)
     m.graph = m.graph.checked()
-    return Frame(frame.df.drop("__first", "__new", ROW), {k: v for k, v in frame.vars.items() if not k.startswith("__")})
+    return Frame(frame.df.drop("__first", ROW), {k: v for k, v in frame.vars.items() if not k.startswith("__")})
 
 
-def looked_up(m: Matcher, frame: Frame, name: str, kind: str, at: str) -> Frame:
-    """Binds ``name`` to the node or relationship whose id is in column ``at``, as the graph has it now."""
-    table = m.graph.node_table() if kind == "node" else m.graph.edge_table()
-    df, e = entity_frame(table, kind, f"{name}@{m.names.fresh('')}")
+def _more(later: dict[str, set[str] | None] | None, items: tuple[s.SetItem, ...]) -> dict[str, set[str] | None] | None:
+    """What is used later if these items are yet to come."""
+    return None if later is None else later | dict.fromkeys({x.name for x in items}.union(*[names_in(x) for x in items]))
+
+
+def looked_up(m: Matcher, frame: Frame, name: str, p: s.NodePattern | s.RelPattern, at: str) -> Frame:
+    """Binds ``name`` to the node or relationship of a pattern whose id is in column ``at``, as the graph has it now; a
+    node of which only the id is used isn't looked up."""
+    prefix = f"{name}@{m.names.fresh('')}"
+    node = isinstance(p, s.NodePattern)
+    if node and (name.startswith("__") or m.used.get(name) == set()):
+        e = Entity("node", prefix, (("_id", T.LongType()),))
+        return frame.bind(frame.df.withColumn(e.id, col(at)), **{name: e})
+    table = m.graph.node_table(p.labels) if node else m.graph.edge_table(p.types)
+    df, e = entity_frame(table, "node" if node else "rel", prefix)
     return frame.bind(frame.df.join(df, col(at) == col(e.id), "left"), **{name: e})
 
 
-def refreshed(m: Matcher, frame: Frame) -> Frame:
-    """All nodes and relationships of the frame as the graph has them now."""
+def refreshed(m: Matcher, frame: Frame, changes: list[tuple[set[str], set[str]]] = ()) -> Frame:
+    """The nodes and relationships of the frame that are used later as the graph has them now; only the tables that
+    can hold them are read. ``changes``: labels that have been added and dropped since the frame was made."""
     for name, b in list(frame.vars.items()):
-        if isinstance(b, Entity):
-            frame = looked_up(m, frame, name, b.kind, b.id)
-            frame = frame.keep(frame.df.drop(*b.columns))
+        if not isinstance(b, Entity) or m.later is not None and name not in m.later or len(b.fields) == 1:
+            continue
+        mark = b.column("_labels" if b.kind == "node" else "_type")
+        sets = [r[0] for r in frame.df.select(mark).filter(col(mark).isNotNull()).distinct().collect()]  # a row for each set of labels or type
+        if b.kind == "node":
+            known = {label_set(x) for x in sets}
+            for add, drop in changes:
+                known |= {label_set((set(x) | add) - drop) for x in known}
+            graph = replace(m.graph, nodes={k: m.graph.nodes[k] for k in m.graph.nodes if k in known})
+            table = graph.node_table()
+        else:
+            table = m.graph.edge_table(sets) if sets else m.graph.edge_table(["__none"])
+        df, e = entity_frame(table, b.kind, f"{name}@{m.names.fresh('')}")
+        frame = frame.bind(frame.df.join(df, col(b.id) == col(e.id), "left"), **{name: e})
+        frame = frame.keep(frame.df.drop(*b.columns))
     return frame
 
 
@@ -250,7 +281,7 @@ def set_items(m: Matcher, frame: Frame, items: tuple[s.SetItem, ...], only: Colu
     frame = frame.keep(materialise(frame.df))
     for name in dict.fromkeys([*changed, *labelled]):
         m.graph = _apply(m.graph, frame, name, list(changed.get(name, {})), *labelled.get(name, (set(), set())), only)
-    frame = refreshed(m, frame)
+    frame = refreshed(m, frame, list(labelled.values()))
     if check:
         m.graph = m.graph.checked()
     return frame.keep(frame.df.drop("__only"))
@@ -319,7 +350,7 @@ def _apply(graph: PropertyGraph, frame: Frame, name: str, keys: list[str], add:
     b = frame.vars[name]
     rows = frame.df.filter(col(b.id).isNotNull() & (col("__only") if only is not None else F.lit(True)))
     values = F.struct(F.lit(1).alias("__hit"), *[col(b.column(k)).alias(k) for k in keys])
-    new = materialise(rows.groupBy(col(b.id).alias("__id")).agg(F.max_by(values, col(ROW)).alias("__v")))
+    new = rows.groupBy(col(b.id).alias("__id")).agg(F.max_by(values, col(ROW)).alias("__v"))
     kinds = dict(b.fields)
     if b.kind == "node":
         touched = [label_set(r[0]) for r in rows.select(b.column("_labels")).distinct().collect()]
@@ -327,6 +358,7 @@ def _apply(graph: PropertyGraph, frame: Frame, name: str, keys: list[str], add:
     else:
         touched = [r[0] for r in rows.select(b.column("_type")).distinct().collect()]
         tables = dict(graph.edges)
+    new = materialise(new) if len(touched) > 1 else new
     for t in touched:
         old = tables[t]
         met = old.join(new, old["_id"] == new["__id"], "left")
@@ -353,7 +385,10 @@ def _apply(graph: PropertyGraph, frame: Frame, name: str, keys: list[str], add:
 def remove_items(m: Matcher, frame: Frame, items: tuple[s.SetItem, ...]) -> Frame:
     plain = tuple(s.SetItem("property", i.name, i.key, s.Literal(None)) for i in items if i.kind == "property")
     if plain:
+        later = m.later
+        m.later = _more(later, items)
         frame = set_items(m, frame, plain)
+        m.later = later
     for i in items:
         if i.kind == "label":
             if ROW not in frame.df.columns:
@@ -361,7 +396,7 @@ def remove_items(m: Matcher, frame: Frame, items: tuple[s.SetItem, ...]) -> Fram
             if not isinstance(frame.vars.get(i.name), Entity):
                 raise SemanticError(f"{i.name} isn't a node")
             m.graph = _apply(m.graph, frame, i.name, [], set(), set(i.labels), None)
-            frame = refreshed(m, frame)
+            frame = refreshed(m, frame, [(set(), set(i.labels))])
     m.graph = m.graph.checked()
     return frame
 
@@ -372,44 +407,52 @@ def remove_items(m: Matcher, frame: Frame, items: tuple[s.SetItem, ...]) -> Fram
 def delete(m: Matcher, frame: Frame, values: tuple[s.Node, ...], detach: bool) -> Frame:
     """Relationships first, then nodes; a node that keeps relationships can't go unless it is detached."""
     frame = frame.keep(materialise(frame.df)) if not frame.unit else frame
-    nodes: DataFrame | None = None
-    rels: DataFrame | None = None
+    nodes: list[DataFrame] = []
+    rels: list[DataFrame] = []
     gone: list[str] = []
     for e in values:
         x = lower(e, m.scope(frame))
         if is_node(x) or is_rel(x):
-            ids = frame.df.select(x.col.getField("_id").alias("__id")).filter("__id is not null").distinct()
-            if is_node(x):
-                nodes = ids if nodes is None else nodes.unionAll(ids)
-            else:
-                rels = ids if rels is None else rels.unionAll(ids)
+            mark = "_labels" if is_node(x) else "_type"
+            (nodes if is_node(x) else rels).append(frame.df.select(x.col.getField("_id").alias("__id"), x.col.getField(mark).alias("__mark")))
             if isinstance(e, s.Variable):
                 gone.append(e.name)
         elif is_list(x) and isinstance(x.type.elementType, T.StructType) and "_src" in x.type.elementType.names:
-            ids = frame.df.select(F.explode(x.col.getField("_id")).alias("__id")).distinct()
-            rels = ids if rels is None else rels.unionAll(ids)
+            each = frame.df.select(F.explode(x.col).alias("__r"))
+            marks = "__r._type" if "_type" in x.type.elementType.names else F.lit(None)
+            rels.append(each.select(col("__r").getField("_id").alias("__id"), (F.col(marks) if isinstance(marks, str) else marks).alias("__mark")))
         elif not is_null(x) and not is_struct(x):
             raise TypeMismatchError("only nodes and relationships can be deleted")
-    edges = dict(m.graph.edges)
-    if rels is not None:
-        rels = materialise(rels.distinct())
-        edges = {t: df.join(rels, df["_id"] == rels["__id"], "left_anti") for t, df in edges.items()}
-    tables = dict(m.graph.nodes)
-    if nodes is not None:
-        nodes = materialise(nodes.distinct())
-        for t, df in edges.items():
-            kept = df.join(nodes, df["_src"] == nodes["__id"], "left_anti")
-            kept = kept.join(nodes, kept["_dst"] == nodes["__id"], "left_anti")
-            if not detach and (not df.join(nodes, df["_src"] == nodes["__id"], "left_semi").isEmpty() or not df.join(nodes, df["_dst"] == nodes["__id"], "left_semi").isEmpty()):
+    edges, tables = dict(m.graph.edges), dict(m.graph.nodes)
+    if rels:
+        ids, types = _distinct(rels)
+        for t in edges if None in types else types & set(edges):
+            edges[t] = materialise(edges[t].join(ids, edges[t]["_id"] == ids["__id"], "left_anti"))
+    if nodes:
+        ids, found = _distinct(nodes)
+        sets = {label_set(x) for x in found}
+        for t, df in list(edges.items()):
+            if t in m.graph.ends and not sets & set(m.graph.ends[t]):
+                continue  # no edge of the type has such an end
+            if not detach and (not df.join(ids, df["_src"] == ids["__id"], "left_semi").isEmpty() or not df.join(ids, df["_dst"] == ids["__id"], "left_semi").isEmpty()):
                 raise QueryRuntimeError("a node that has relationships can't be deleted: use DETACH DELETE")
             if detach:
-                edges[t] = kept
-        tables = {k: materialise(df.join(nodes, df["_id"] == nodes["__id"], "left_anti")) for k, df in tables.items()}
-    if rels is not None or nodes is not None:
-        edges = {t: materialise(df) for t, df in edges.items()}
+                kept = df.join(ids, df["_src"] == ids["__id"], "left_anti")
+                edges[t] = materialise(kept.join(ids, kept["_dst"] == ids["__id"], "left_anti"))
+        for t in sets:
+            tables[t] = materialise(tables[t].join(ids, tables[t]["_id"] == ids["__id"], "left_anti"))
     m.graph = replace(m.graph, nodes=tables, edges=edges, carried={})
     for name in gone:
         b = frame.vars[name]
         if isinstance(b, Entity):
             frame = frame.keep(frame.df.withColumns({b.column(n): F.lit(None).cast(t) for n, t in b.fields}))
     return frame
+
+
+def _distinct(parts: list[DataFrame]) -> tuple[DataFrame, set]:
+    """The ids that go, each once, and the different labels or types they are under."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionAll(p)
+    rows = materialise(rows.filter("__id is not null").distinct())
+    return rows.select("__id"), {tuple(r[0]) if isinstance(r[0], list) else r[0] for r in rows.select("__mark").distinct().collect()}

@@ -18,10 +18,12 @@ from .plans.parser import parse
 from .sources.csv import load_csv
 
 
-def usage(query: s.Query) -> dict[str, set[str] | None]:
+def usage(clauses: tuple[s.Node, ...]) -> dict[str, set[str] | None] | None:
     """What is used of each variable besides its id: names of properties, or None for everything. Patterns, id(),
-    count(), tests for null and passing it on under its name use nothing."""
+    count(), tests for null and passing it on under its name use nothing; what SET, REMOVE and DELETE change is used
+    as a whole, and so is a node whose labels are asked for again. None: everything is used of all."""
     used: dict[str, set[str] | None] = {}
+    bound: set[str] = set()
 
     def visit(e: s.Node) -> None:
         todo = [e]
@@ -29,6 +31,9 @@ def usage(query: s.Query) -> dict[str, set[str] | None]:
             x = todo.pop()
             if isinstance(x, (s.NodePattern, s.RelPattern)) and x.name:
                 used.setdefault(x.name, set())
+                if isinstance(x, s.NodePattern) and x.labels and x.name in bound:
+                    used[x.name] = None
+                bound.add(x.name)
                 if used[x.name] is not None:
                     used[x.name].update(k for k, _ in x.properties)
             if isinstance(x, (s.Call, s.IsNull)):
@@ -43,27 +48,29 @@ def usage(query: s.Query) -> dict[str, set[str] | None]:
                 continue
             if isinstance(x, s.Variable):
                 used[x.name] = None
+            if isinstance(x, s.SetItem):
+                used[x.name] = None
             if isinstance(x, s.MapProjection):
                 used.update({i[1]: None for i in x.items if i[0] == "variable"})
             todo.extend(x.children())
 
-    every: dict[str, set[str] | None] = {}
-    for c in query.clauses:
-        if isinstance(c, (s.Create, s.Merge, s.SetClause, s.Remove, s.Delete)) or isinstance(c, s.Projection) and c.star:
-            return every
+    for c in clauses:
+        if isinstance(c, s.Projection) and c.star:
+            return None
         if isinstance(c, s.Projection):
             for i in c.items:
                 if not (not c.final and isinstance(i.value, s.Variable) and i.alias in (None, i.value.name)):
                     visit(i.value)
             for x in (*c.order, *[y for y in (c.where, c.skip, c.limit) if y is not None]):
                 visit(x)
-        elif isinstance(c, s.Match):
-            for p in c.paths:
+        elif isinstance(c, (s.Match, s.Create, s.Merge)):
+            for p in (c.path,) if isinstance(c, s.Merge) else c.paths:
                 visit(p)
                 if p.name:
                     used.update({n.name: None for n in p.nodes if n.name})
-            if c.where is not None:
-                visit(c.where)
+            for x in (c.where,) if isinstance(c, s.Match) else (*c.on_create, *c.on_match) if isinstance(c, s.Merge) else ():
+                if x is not None:
+                    visit(x)
         else:
             visit(c)
     return used
@@ -107,13 +114,15 @@ class GraphSession:
         return self.spark.range(0).select()
 
     def run(self, query: s.Query, graph: PropertyGraph, params: dict[str, Any]) -> tuple[PropertyGraph, DataFrame | None]:
-        m = Matcher(graph, params, s.Names(), usage(query), self.unique)
+        m = Matcher(graph, params, s.Names(), usage(query.clauses) or {}, self.unique)
         frame = Frame(graph.spark.range(1).select(), {}, True)
         if pinned(m, query.clauses):
             return m.graph, None
         if len(query.clauses) == 1 and isinstance(query.clauses[0], s.Create) and create_constants(m, query.clauses[0].paths, {}):
             return m.graph, None
-        for c in query.clauses:
+        for k, c in enumerate(query.clauses):
+            if isinstance(c, (s.Merge, s.SetClause, s.Remove)):
+                m.later = usage(query.clauses[k + 1 :])
             if isinstance(c, s.Match):
                 if c.kind == "optional":
                     frame = m.optional(frame, c.paths, c.where)
