@@ -9,8 +9,8 @@ that a smaller document has join to maximal repeats.
 
 The table is a filter: however full it gets, it can only let through windows that turn out not to repeat, so results
 don't depend on its size. It is the only thing sent to all executors. Windows meet in boxes whose number grows with
-the words, so that a box stays as large as it is; documents and what goes of them are dealt by id, sorted and read as
-a stream, so that a worker holds one document at a time.
+the words, so that a box stays as large as it is. What goes is dealt to as many boxes of documents, which are read as
+a stream, so that a worker holds the windows that go from one box, and never its texts.
 
 Words are the runs of anything but ASCII white space. Null and empty texts have none. Rows that repeat a document's id
 are parts of one document and don't make each other repeats; rows with a null id are left whole and count for no
@@ -39,7 +39,7 @@ BLOCK = WINDOW // 2
 CHUNKS, CHUNK_BITS, PROBES = 512, 19, 3
 #: Words gathered before a worker hands on what it has; words, of all documents, for each box that windows meet in, and
 #: for each part that documents are dealt to.
-GATHER, BOX_WORDS, PART_WORDS = 1 << 20, 1 << 20, 1 << 25
+GATHER, BOX_WORDS, PART_WORDS = 1 << 20, 1 << 20, 1 << 22
 
 _words = Hashes(lambda w: xxhash.xxh64_intdigest(w, 1))
 #: The bases of the two hashes, and their powers and inverse powers.
@@ -210,19 +210,13 @@ def repeated(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc > doc[first][np.cumsum(first) - 1]
 
 
-def _by_document(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-    order = np.argsort(doc, kind="stable")
-    return _parcels(h[order], doc[order], doc[order])
-
-
-def repeats(df: DataFrame, bits: int = 64) -> tuple[DataFrame, int]:
-    """(key, hashes): the windows of a document that a smaller one has, in a row or several; and the words of all
-    documents. ``df``: id, text."""
+def repeats(df: DataFrame, bits: int = 64) -> tuple[DataFrame, int, int]:
+    """Parcels (box of the document, hashes, docs) of the windows that a smaller document has; the number of boxes, and
+    of partitions for them. ``df``: id, text."""
     *tables, total = anchors(df)
     sent = df.sparkSession.sparkContext.broadcast(tables)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    boxes = max(4 * partitions + 1, total // BOX_WORDS + 1)
+    boxes, partitions = max(4 * partitions + 1, total // BOX_WORDS + 1), max(partitions, total // PART_WORDS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, several = sent.value
@@ -256,13 +250,17 @@ def repeats(df: DataFrame, bits: int = 64) -> tuple[DataFrame, int]:
                 held.append((h, doc))
                 size += len(h)
                 if size >= GATHER:
-                    yield _by_document(held)
+                    yield to_documents(held)
                     held, size = [], 0
         if size:
-            yield _by_document(held)
+            yield to_documents(held)
 
-    met = df.mapInArrow(lean(probe), PARCEL).repartition(max(partitions, total // PART_WORDS), "box").sortWithinPartitions("box").mapInArrow(lean(compare), PARCEL)
-    return met.select(F.col("box").alias("key"), "hashes"), total
+    def to_documents(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        return _parcels(h, doc, doc % boxes)
+
+    dealt = df.mapInArrow(lean(probe), PARCEL).repartition(partitions, "box").sortWithinPartitions("box")
+    return dealt.mapInArrow(lean(compare), PARCEL), boxes, partitions
 
 
 def _join(parcels: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -274,27 +272,35 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row:
     maximal repeats that go; kept is what stays, words joined by one space. ``row``: beside them the whole row of
     ``df``, as a struct column."""
     docs = small_batches(df).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.struct("*").alias("row")] * row)
-    found, total = repeats(docs.select("key", "text"), bits)
+    found, boxes, partitions = repeats(docs.select("key", "text"), bits)
     schema = T.StructType.fromDDL("key long, n_words long, n_removed long, removed array<int>, kept string")
     kinds = to_arrow_schema(schema)
     if row:
         schema = schema.add("row", df.schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's windows come before its text."""
-        now, gone = None, []
+        """What goes from a box's documents comes before their texts."""
+        now, parcels, gone, of = None, [], np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("row").field(text) if row else part.column("text")
                 out: dict[str, list] = {f.name: [] for f in kinds}
                 own = []
-                for i, (k, windows, t) in enumerate(zip(part.column("key").to_pylist(), part.column("hashes").to_pylist(), texts.to_pylist(), strict=True)):
-                    if windows is not None:
-                        now, gone = k, [*(gone if k == now else ()), windows]
+                for i, (box, k, h, d, t) in enumerate(zip(*(part.column(c).to_pylist() for c in ("box", "key", "hashes", "docs")), texts.to_pylist(), strict=True)):
+                    if box != now:
+                        now, parcels, gone, of = box, [], gone[:0], of[:0]
+                    if h is not None:
+                        parcels.append((box, np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64)))
                         continue
+                    if parcels:
+                        gone, of = _join(parcels)
+                        order = np.argsort(of, kind="stable")
+                        parcels, gone, of = [], gone[order], of[order]
                     words = words_of(t)
-                    spans, kept = without(words, np.frombuffer(b"".join(gone), np.uint64).reshape(-1, 2), bits) if k is not None and k == now else ([], words)
+                    spans, kept = [], words
+                    if k is not None and (s := np.searchsorted(of, k, "left")) < (e := np.searchsorted(of, k, "right")):
+                        spans, kept = without(words, gone[s:e], bits)
                     own.append(i)
                     for c, v in zip(out, (k, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
                         out[c].append(v)
@@ -303,13 +309,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", row:
                     made.append(part.column("row").take(pa.array(own, pa.int32())))
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
-    here = docs.withColumn("hashes", F.lit(None).cast("binary"))
-    if row:
-        here = here.drop("text")
+    box = F.pmod(F.coalesce("key", F.xxhash64("row" if row else "text")), F.lit(boxes).cast("long"))  # rows without an id go anywhere
+    here = docs.select(box.alias("box"), "key", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("docs"), "row" if row else "text")
     there = found.select(*[F.col(c) if c in found.columns else F.lit(None).cast(here.schema[c].dataType).alias(c) for c in here.columns])
-    apart = F.coalesce("key", F.xxhash64("row" if row else "text"))  # rows without an id go anywhere
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_WORDS)
-    dealt = here.unionAll(there).repartition(parts, apart).sortWithinPartitions("key", F.col("hashes").isNull())
+    dealt = here.unionAll(there).repartition(partitions, "box").sortWithinPartitions("box", F.col("hashes").isNull())
     return dealt.mapInArrow(lean(cut), schema).withColumnRenamed("key", key)
 
 
