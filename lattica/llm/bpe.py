@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-The pieces of all texts of a batch are merged together: every adjacent pair of symbols maps to the list of all its
-positions in the partition's pieces, the active pairs are taken in ascending rank, each pair is merged at all its
-positions at once, and the lists of the pairs this makes are updated. Pieces already merged are looked up.
-
-Nulls count as empty texts; empty texts give no ids. Texts are never cut. Rows are independent, so repeated rows give
-repeated results. The operator keeps only the columns it is asked to keep.
+A worker reads its partition in slices. The pieces of all texts of a slice that it hasn't met before are merged
+together: every adjacent pair of symbols maps to the list of all its positions in these pieces, the active pairs are
+taken in ascending rank, each pair is merged at all its positions at once, and the lists of the pairs this makes are
+updated. Pieces met before are looked up, so each of a partition's pieces enters an index once, while it is remembered.
+
+Nulls count as empty texts; empty texts give no ids, empty tables no rows. Texts are never cut, however long. Rows are
+independent, so repeated rows give repeated results; of pairs that could be merged at the same place the lower rank
+goes first, and of equal pairs the first from the left. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -210,8 +212,11 @@ def encode_checked(df: DataFrame, path: str, text: str = "text", key: str = "doc
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         v = vocabulary(path)
-        ids = v.encode(rows[text])
-        return {key: rows[key], "n_tokens": [len(x) for x in ids], "ids": ids, "same": [v.decode(x) == (t or "") for x, t in zip(ids, rows[text], strict=True)]}
+        place = {t: k for k, t in enumerate(dict.fromkeys(rows[text]))}  # copies that stand together are encoded once
+        ids = v.encode(list(place))
+        same = [v.decode(x) == (t or "") for x, t in zip(ids, place, strict=True)]
+        at = [place[t] for t in rows[text]]
+        return {key: rows[key], "n_tokens": [len(ids[k]) for k in at], "ids": [ids[k] for k in at], "same": [same[k] for k in at]}
 
     return map_slices(df, f"`{key}` {kind}, n_tokens long, ids array<int>, same boolean", work, [key, text])
 

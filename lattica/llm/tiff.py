@@ -3,8 +3,10 @@
 The reader walks the image file directories of either byte order, decodes strips or tiles stored plainly or under
 PackBits, LZW or deflate, undoes horizontal differencing and crops tiles to the page. Only 8-bit samples are read.
 
-A null or empty media value has no pages; anything else that isn't a readable TIFF raises ``TiffError`` under
-``strict`` and has no pages otherwise. Rows are independent, so repeated rows give repeated pages.
+A null or empty media value has no pages. Anything else that isn't a readable TIFF gives one row whose page is null and
+whose ``error`` says why, after the pages that could be read; under ``strict`` it raises ``TiffError``. Rows are
+independent, so repeated rows give repeated pages; empty tables give none. Files and texts of any length are read and
+written whole. Columns that would clash with those that are made raise ``ValueError``; others are ignored unless kept.
 """
 
 from __future__ import annotations
@@ -298,27 +300,29 @@ def store_texts(df: DataFrame, width: int = 576, text: str = "text", key: str =
     return map_slices(df, f"`{key}` {kind}, n_bytes long, media binary", work, [key, text])
 
 
-def pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",), strict: bool = True) -> DataFrame:
+def pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",), strict: bool = False) -> DataFrame:
     """One row per page: the kept columns, the media column, page, width, height, channels, compression, predictor,
-    tiled, samples (row by row) and feature, a summary of the samples."""
+    tiled, samples (row by row), feature, a summary of the samples, and error, null for what could be read."""
     kinds = dict(df.dtypes)
-    fields = {"page": "int", "width": "int", "height": "int", "channels": "int", "compression": "int", "predictor": "int", "tiled": "boolean", "samples": "binary", "feature": "string"}
+    fields = {"page": "int", "width": "int", "height": "int", "channels": "int", "compression": "int", "predictor": "int", "tiled": "boolean", "samples": "binary", "feature": "string", "error": "string"}
     if clash := set(fields) & {*keep, media}:
         raise ValueError(f"columns would clash: {sorted(clash)}")
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in (*keep, media, *fields)}
         for k, data in enumerate(rows[media]):
+            found: list[tuple] = []
             try:
-                found = list(read(data))
-            except TiffError:
+                for p in read(data):
+                    found.append((*p, feature(p), None))
+            except TiffError as e:
                 if strict:
                     raise
-                found = []
+                found.append((*[None] * (len(fields) - 1), str(e)))
             for p in found:
                 for c in (*keep, media):
                     out[c].append(rows[c][k])
-                for c, v in zip(fields, (*p, feature(p)), strict=True):
+                for c, v in zip(fields, p, strict=True):
                     out[c].append(v)
         return out
 
