@@ -174,8 +174,11 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float] | float, t
 def drawn(df: DataFrame, rates: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` as often as their rates say: the whole part always, one more by a hash of the key. Rates are
     hashed, so that texts are neither sorted nor held."""
+    names = [f"{key}~{k}" for k in range(len(df.columns) + 3)]
+    other, rate, copy = [n for n in names if n not in df.columns][:3]  # no names of the table's own
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    per = rates.groupBy(F.col(key).alias("__key")).agg(F.avg("rate").alias("__rate"))
-    met = df.join(per.hint("shuffle_hash"), df[key].eqNullSafe(per["__key"]), "left").withColumn("__rate", F.coalesce("__rate", F.lit(1.0)))
-    times = F.floor("__rate").cast("int") + (draw < F.col("__rate") - F.floor("__rate")).cast("int")
-    return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[met[c] for c in df.columns])
+    per = rates.groupBy(F.col(key).alias(other)).agg(F.avg("rate").alias(rate))
+    r = F.coalesce(F.col(rate), F.lit(1.0))
+    met = df.join(per.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(other)), "left")
+    times = F.floor(r).cast("int") + (draw < r - F.floor(r)).cast("int")
+    return met.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -235,7 +235,11 @@ def read(data: bytes | None) -> Iterator[Page]:
             raise TiffError("the chain of directories is broken")
         seen.add(at)
         fields, at = _directory(data, order, at)
-        yield _page(data, fields, index)
+        try:
+            page = _page(data, fields, index)
+        except (LookupError, TypeError, ArithmeticError, MemoryError) as e:
+            raise TiffError(f"a page is incomplete: {type(e).__name__} {e}") from e
+        yield page
         index += 1
 
 

@@ -32,3 +32,17 @@ def test_columns_and_empty_tables(spark):
     ids = bpe.encode(df, path)
     assert sorted((r.doc_id, r.text) for r in bpe.decode(ids, path).collect()) == [(1, "a b"), (1, "a b"), (2, "")]
     assert bpe.encode(df.filter("false"), path).count() == 0
+
+
+def test_very_long_texts():
+    path = queries.tokenizer_path()
+    own, theirs = bpe.Vocabulary(path), Tokenizer.from_file(path)
+    for text in ("the quick brown fox 12345 " * 20_000, "ab" * 40_000, "\U0001f600 é" * 20_000):
+        (ids,) = own.encode([text])
+        assert ids == theirs.encode(text, add_special_tokens=False).ids and own.decode(ids) == text
+
+
+def test_copies_in_a_slice(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", None, "a b", "", "c", "c", None])], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_tokens, list(r.ids), r.same) for r in bpe.encode_checked(df, queries.tokenizer_path()).collect()}
+    assert got[0] == got[2] and got[1] == got[3] == got[6] == (0, [], True) and got[4] == got[5] and got[0][0] == 2

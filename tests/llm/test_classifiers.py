@@ -54,3 +54,17 @@ def test_every_language_is_learned(spark):
     model = langid.fit(df)
     assert model.languages == sorted(texts)
     assert model.predict(texts["l202"])[0] == "l202"
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 12)]
+    rows += [rows[0], rows[0], (None, "the dog", None), (None, "der hund", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("lang_pred", "score", "draw", "label", "at", "x", "__y", "__k", "held_out"):
+        df = df.withColumn(name, F.lit(1))
+    got = langid.identify(df, F.lit(True)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.lang_pred) for r in got if r.doc_id is None} == {(None, "en"), (None, "de")}
+    labels = spark.createDataFrame([(k, k % 2, 5) for k in range(24)] + [(None, 1, 5)], "doc_id long, quality int, __y int")
+    scored = quality.score(df, quality.fit(df, labels, F.lit(True))).collect()
+    assert len(scored) == len(rows) and len({round(r.score, 12) for r in scored if r.doc_id == 0}) == 1
+    assert {r.held_out for r in df.select(queries.held_out().alias("held_out")).collect()} == {True, False}
