@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import testgraph
+from .errors import ConstraintError, QueryRuntimeError
 from .graph import PropertyGraph
 from .lineage import shared_dir
 from .session import GraphSession
@@ -206,8 +207,8 @@ reads(
 )
 reads(
     "undirected_varlen",
-    "MATCH (r:Region {r_name: 'ASIA'})-[:IN_REGION*2]-(x:Region) RETURN count(x) AS c",
-    "select 0 as c",
+    "MATCH (a:Nation)-[:IN_REGION*2]-(b:Nation) RETURN a.n_name AS n, count(b) AS c",
+    "select a.n_name as n, count(*) as c from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey group by 1",
 )
 reads(
     "shortest_path",
@@ -219,6 +220,21 @@ reads(
     "MATCH p = allShortestPaths((a:Region {r_name: 'ASIA'})-[:IN_REGION|FROM_NATION*..3]-(s:Supplier)) RETURN length(p) AS hops, count(*) AS c",
     "select 2 as hops, count(*) as c from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA'",
 )
+reads(
+    "shortest_path_by_property",
+    "MATCH p = shortestPath((a:Customer)-[:FROM_NATION|IN_REGION*..2]->(r:Region {r_name: 'ASIA'})) RETURN length(p) AS hops, count(*) AS c",
+    "select 2 as hops, count(*) as c from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA'",
+)
+reads(
+    "theta_pattern",
+    "MATCH (a:Nation), (b:Region) WHERE a.n_nationkey < b.r_regionkey * 6 RETURN b.r_name AS r, count(a) AS c",
+    "select r_name as r, count(*) as c from nation join region on n_nationkey < r_regionkey * 6 group by 1",
+)
+reads(
+    "inline_rel_props",
+    "MATCH (o:Order)-[l:CONTAINS {linenumber: 2, returnflag: 'R'}]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p",
+    "select l_orderkey as o, l_partkey as p from lineitem where l_linenumber = 2 and l_returnflag = 'R'",
+)
 reads(
     "start_and_end_node",
     "MATCH ()-[r:IN_REGION]->() RETURN startNode(r).n_name AS n, endNode(r).r_name AS r",
@@ -366,6 +382,29 @@ reads(
     "UNWIND [1, 2, null] AS x RETURN x, x + 1 AS a, x = null AS b, null AND false AS c, null OR true AS d, NOT null AS e, 'a' < 1 AS f, 1.5 / 0 AS g, 9223372036854775807 + x AS h",
     "select x::bigint as x, (x + 1)::bigint as a, null::boolean as b, false as c, true as d, null::boolean as e, null::boolean as f, null::double as g, null::bigint as h from (values (1), (2), (null)) t(x)",
 )
+reads(
+    "percentile_groups",
+    "MATCH (p:Part) RETURN p.p_brand AS brand, percentileDisc(p.p_size, 0.3) AS d, percentileDisc(DISTINCT p.p_size, 0.5) AS m, count(*) AS n",
+    "select p_brand as brand, list_sort(list(p_size))[1 + floor(0.3 * (count(*) - 1))::int] as d, list_sort(list(distinct p_size))[1 + floor(0.5 * (count(distinct p_size) - 1))::int] as m, count(*) as n from part group by 1",
+)
+_ANGLES = {f: f"toInteger(round({f}(x) * 1000000)) AS {f}" for f in ("tan", "asin", "acos", "atan", "cot", "haversin", "sin", "cos")}
+reads(
+    "trigonometry",
+    "MATCH (n:Nation) WITH toFloat(n.n_nationkey + 1) / 26 AS x RETURN " + ", ".join(_ANGLES.values()),
+    "select " + ", ".join(f"round({'(1 - cos(x)) / 2' if f == 'haversin' else f'{f}(x)'} * 1000000)::bigint as {f}" for f in _ANGLES) + " from (select (n_nationkey + 1)::double / 26 as x from nation)",
+)
+reads(
+    "function_aliases",
+    "UNWIND [1] AS one RETURN string(1) AS a, cast_to_string(2) AS b, toInt('3') AS c, int64('4') AS d, cast_to_int64('5') AS e, double('1.5') AS f, cast_to_double('2.5') AS g, cast_to_date('2024-01-02') = date('2024-01-02') AS h,"
+    " size(array_append([1], 2)) AS i, list_push_back([1], 2)[1] AS j, array_prepend([1], 0)[0] AS k, list_push_front([1], 0)[0] AS l, array_extract([7, 8], 1) = list_extract([7, 8], 1) AS m, array_contains([1], 1) AS n,"
+    " list_has([1], 2) AS o, array_sort([2, 1])[0] AS p, size(array_distinct([1, 1])) AS q, size(make_list(1, 2, 3)) AS r, size(list_creation(1)) AS s, ln(1.0) AS t",
+    "select '1' as a, '2' as b, 3::bigint as c, 4::bigint as d, 5::bigint as e, 1.5::double as f, 2.5::double as g, true as h, 2::bigint as i, 2::bigint as j, 0::bigint as k, 0::bigint as l, true as m, true as n, false as o, 1::bigint as p, 1::bigint as q, 3::bigint as r, 1::bigint as s, 0::double as t",
+)
+reads(
+    "many_arguments",
+    "UNWIND [1] AS one RETURN size(concat(" + ", ".join(["'x'"] * 150) + ")) AS a, coalesce(" + "null, " * 120 + "7) AS b, size(list_value(" + ", ".join(map(str, range(130))) + ")) AS c",
+    "select 150::bigint as a, 7::bigint as b, 130::bigint as c",
+)
 reads("show_functions", "UNWIND show_functions() AS f WITH f WHERE f STARTS WITH 'percentile' RETURN f", "select unnest(['percentilecont', 'percentiledisc']) as f")
 reads("rand_uuid_now", "MATCH (r:Region) RETURN r.r_name AS r, rand() < 1 AS a, size(randomUUID()) AS b, current_date() IS NOT NULL AS c, current_timestamp() IS NOT NULL AS d", "select r_name as r, true as a, 36::bigint as b, true as c, true as d from region")
 
@@ -406,11 +445,8 @@ def _csv_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small(spark: SparkSession, sf_dir: str) -> GraphSession:
-    """Regions, nations, customers and suppliers only, to be written to."""
-    g = graph(spark, sf_dir)
-    kept = g.nodes.only(lambda k: k[0] in ("Region", "Nation", "Customer", "Supplier"))
-    edges = {t: g.edges[t] for t in ("IN_REGION", "FROM_NATION")}
-    return GraphSession(PropertyGraph(spark, kept, edges, {"IN_REGION": g.ends["IN_REGION"]}, {}, (), g.next_node, g.next_edge))
+    """The whole test graph, to be written to: a statement touches only the tables it concerns."""
+    return session(spark, sf_dir)
 
 
 @runs("create_nodes", "select n_name as name, n_nationkey::bigint as k from nation union all select 'extra', null")
@@ -479,6 +515,99 @@ def _delete_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.cypher("MATCH (n:Nation) OPTIONAL MATCH (n)-[f:IN_REGION]->() RETURN count(f) AS c, count(n) AS n")
 
 
+@runs("write_and_return", "select o_orderkey as k, o_totalprice > 100000 as big, o_orderstatus as status from orders where o_totalprice > 100000")
+def _write_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small(spark, sf_dir).cypher("MATCH (o:Order) WHERE o.o_totalprice > 100000 SET o.big = true RETURN o.o_orderkey AS k, o.big AS big, o.o_orderstatus AS status")
+
+
+@runs("create_and_return", "select n_name as name, n_nationkey * 2::bigint as twice, r_name as region from nation join region on n_regionkey = r_regionkey")
+def _create_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small(spark, sf_dir).cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) CREATE (n)-[:HAS]->(x:Office {twice: n.n_nationkey * 2}) RETURN n.n_name AS name, x.twice AS twice, r.r_name AS region")
+
+
+@runs("merge_chain", "select r_name as region, 1::bigint as made, count(*) - 1 as seen from region join nation on n_regionkey = r_regionkey group by 1")
+def _merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = small(spark, sf_dir)
+    g.cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) MERGE (r)-[h:HAS]->(o:Office {of: r.r_name}) ON CREATE SET o.made = 1, h.seen = 0 ON MATCH SET h.seen = h.seen + 1")
+    return g.cypher("MATCH (r:Region)-[h:HAS]->(o:Office {of: r.r_name}) RETURN r.r_name AS region, o.made AS made, h.seen AS seen")
+
+
+@runs("merge_orders", "select o_orderstatus as status, count(*) as n from orders group by 1")
+def _merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hot keys: a node for each, and a relationship to it from every order."""
+    g = small(spark, sf_dir)
+    g.cypher("MATCH (o:Order) MERGE (s:Status {name: o.o_orderstatus}) MERGE (o)-[:IS]->(s)")
+    return g.cypher("MATCH (o:Order)-[:IS]->(s:Status) RETURN s.name AS status, count(o) AS n")
+
+
+@runs("delete_events", "select event_type as t, count(*) as n from events where event_type <> 'error' group by 1 union all select 'PERFORMED', count(*) from events where event_type <> 'error'")
+def _delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = small(spark, sf_dir)
+    g.cypher("MATCH (e:Event {event_type: 'error'}) DETACH DELETE e")
+    return g.cypher("MATCH (e:Event) RETURN e.event_type AS t, count(*) AS n UNION ALL MATCH (c:Customer)-[r:PERFORMED]->(e) RETURN type(r), count(*)")
+
+
+_REJECTED = ("CREATE (:Customer {c_custkey: 1, c_name: 'x'})", "MATCH (c:Customer {c_custkey: 1}) SET c.c_custkey = 2", "MATCH (c:Customer {c_custkey: 1}) REMOVE c.c_name", "CREATE (:Customer {c_custkey: -1, c_name: 'x', c_acctbal: 'text'})", "CREATE (:Customer {c_custkey: -1, c_name: 'new', c_acctbal: 1.0})")
+
+
+@runs("constraint_rejects", "select i, i < 4 as rejected, (select count(*) from customer) + (i = 4)::int as customers from range(5) t(i)")
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = small(spark, sf_dir)
+    for body in ("c.c_custkey IS UNIQUE", "c.c_name IS NOT NULL", "c.c_acctbal IS :: FLOAT"):
+        g.cypher(f"CREATE CONSTRAINT FOR (c:Customer) REQUIRE {body}")
+    out = []
+    for i, text in enumerate(_REJECTED):
+        rejected = False
+        try:
+            g.cypher(text)
+        except ConstraintError:
+            rejected = True
+        out.append((i, rejected, g.cypher("MATCH (c:Customer) RETURN count(c) AS n").first().n))
+    return spark.createDataFrame(out, "i long, rejected boolean, customers long")
+
+
+@runs("bulk_lookups", "select n::bigint as n, kind, (kind in ('int', 'float'))::bigint as made from range(15, 18) t(n), (values ('int'), ('float'), ('text'), ('missing')) k(kind)")
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of 15, 16 and 17 lookups by constants of an int property, by values of several types."""
+    g = GraphSession(PropertyGraph(spark))
+    g.cypher("UNWIND range(0, 20) AS i CREATE (:P {k: i})")
+    values = {"int": str, "float": lambda i: f"{i}.0", "text": lambda i: f"'{i}'", "missing": lambda i: str(i or 99)}
+    out = []
+    for n in (15, 16, 17):
+        for kind, value in values.items():
+            now = GraphSession(g.graph)
+            now.cypher(" ".join(f"MATCH (a{i}:P {{k: {value(i)}}})" for i in range(n)) + " CREATE (a0)-[:R]->(a1)")
+            out.append((n, kind, now.cypher("MATCH ()-[r:R]->() RETURN count(r) AS n").first().n))
+    return spark.createDataFrame(out, "n long, kind string, made long")
+
+
+def _chain(spark: SparkSession) -> GraphSession:
+    g = GraphSession(PropertyGraph(spark))
+    g.cypher("UNWIND range(0, 150) AS i CREATE (:Hop {k: i})")
+    g.cypher("MATCH (a:Hop), (b:Hop) WHERE b.k = a.k + 1 CREATE (a)-[:TO]->(b)")
+    return g
+
+
+@runs("long_walks", "select unnest([100, 101, 150])::bigint as hops")
+def _long_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark).cypher("MATCH (a:Hop {k: 0})-[r:TO*99..150]->(b:Hop) WHERE b.k IN [100, 101, 150] RETURN size(r) AS hops")
+
+
+@runs("long_shortest_paths", "select unnest([100, 101, 150])::bigint as hops")
+def _long_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark).cypher("MATCH p = shortestPath((a:Hop {k: 0})-[:TO*..150]->(b:Hop)) WHERE b.k IN [100, 101, 150] RETURN length(p) AS hops")
+
+
+@runs("mandatory_match_fails", "select 'raised' as outcome")
+def _mandatory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    try:
+        session(spark, sf_dir).cypher("MANDATORY MATCH (r:Region {r_name: 'NOWHERE'}) RETURN r")
+        outcome = "none"
+    except QueryRuntimeError:
+        outcome = "raised"
+    return spark.createDataFrame([(outcome,)], "outcome string")
+
+
 @runs(
     "constraint_checks",
     "select * from (values ('not_null', 0::bigint), ('node_key', 0::bigint), ('type', 0::bigint), ('unique', 0::bigint), ('unique segment', (select count(*) from (select c_mktsegment from customer group by 1 having count(*) > 1)))) t(kind, c)",
@@ -497,7 +626,7 @@ def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@runs("export_roundtrip", "select 'Region' as label, count(*) as c from region union all select 'Nation', count(*) from nation union all select '-', count(*) from nation")
+@runs("export_roundtrip", "select n_name as nation, n_nationkey::bigint as k, r_name as region, r_regionkey::bigint as rk from nation join region on n_regionkey = r_regionkey")
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.export import export_cypher
 
@@ -505,19 +634,40 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = PropertyGraph(spark, g.nodes.only(lambda k: k[0] in ("Region", "Nation")), {"IN_REGION": g.edges["IN_REGION"]})
     again = GraphSession(PropertyGraph(spark))
     again.cypher(export_cypher(part))
-    counts = again.cypher("MATCH (n) RETURN labels(n)[0] AS label, count(*) AS c UNION ALL MATCH (:Nation)-[r:IN_REGION]->(:Region) RETURN '-', count(r)")
-    return counts
+    return again.cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS nation, n.n_nationkey AS k, r.r_name AS region, r.r_regionkey AS rk")
 
 
-@runs("store_roundtrip", "select 'Nation' as label, count(*) as c from nation union all select 'Region', count(*) from region union all select '-', count(*) from nation")
+@runs("store_roundtrip", "select c_name as client, c_mktsegment as seg, o_orderkey as k, o_totalprice as price, o_orderpriority as priority from customer join orders on o_custkey = c_custkey")
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.store import load_graph, save_graph
 
-    g = graph(spark, sf_dir)
-    part = PropertyGraph(spark, g.nodes.only(lambda k: k[0] in ("Region", "Nation")), {"IN_REGION": g.edges["IN_REGION"]})
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    save_graph(part, path)
-    return GraphSession(load_graph(spark, path)).cypher("MATCH (n) RETURN labels(n)[0] AS label, count(*) AS c UNION ALL MATCH (:Nation)-[r:IN_REGION]->(:Region) RETURN '-', count(r)")
+    save_graph(graph(spark, sf_dir), path)
+    return GraphSession(load_graph(spark, path)).cypher("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_name AS client, c.c_mktsegment AS seg, o.o_orderkey AS k, o.o_totalprice AS price, o.o_orderpriority AS priority")
+
+
+@runs("store_versions", "select i, i * i as sq, i = 3 as marked from range(1, 41) t(i)")
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement is committed; each session reads what the one before has left."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    for text in ("UNWIND range(1, 50) AS i CREATE (:N {i: i})", "MATCH (n:N) WHERE n.i > 40 DELETE n", "MATCH (n:N) SET n.sq = n.i * n.i", "MATCH (n:N {i: 3}) SET n:Marked"):
+        GraphSession.stored(spark, path).cypher(text)
+    return GraphSession.stored(spark, path).cypher("MATCH (n:N) RETURN n.i AS i, n.sq AS sq, 'Marked' IN labels(n) AS marked")
+
+
+@runs("host_api", "select * from (values ('node', 'A B', 'x'), ('edge', 'R', '2.5'), ('none', '-', '-'), ('counts', '3', '1'), ('matched', 'B', '2'), ('raised', 'no', 'end')) t(kind, a, b)")
+def _host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GraphSession(PropertyGraph(spark))
+    a, b, c = g.create_node(["A", "B"], {"name": "x", "k": 1}), g.create_node(["B"]), g.create_node(["C"], {"f": 1.5})
+    r = g.create_edge("R", a, c, {"w": 2.5})
+    node, edge = g.get_node(a), g.get_edge(r)
+    rows = [("node", " ".join(node["labels"]), node["properties"]["name"]), ("edge", edge["type"], str(edge["properties"]["w"]))]
+    rows += [("none", "-" if g.get_node(99) is None else "", "-" if g.get_edge(99) is None else ""), ("counts", str(g.node_count()), str(g.edge_count())), ("matched", "B", str(g.match_nodes("B").count()))]
+    try:
+        g.create_edge("R", b, 99)
+    except QueryRuntimeError:
+        rows.append(("raised", "no", "end"))
+    return spark.createDataFrame(rows, "kind string, a string, b string")
 
 
 #: Rows of every label and type of the test graph.
@@ -559,6 +709,13 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(session(spark, sf_dir).cypher("MATCH (n:Region) RETURN n"))
 
 
+@runs("json_values", "select '{\"l\":[1,2],\"d\":\"2024-01-02\",\"n\":1,\"m\":{\"a\":\"ALGERIA\"}}' as value")
+def _json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.export import json_rows
+
+    return json_rows(session(spark, sf_dir).cypher("MATCH p = (n:Nation {n_nationkey: 0})-[:IN_REGION]->(r:Region) RETURN [1, 2] AS l, date('2024-01-02') AS d, length(p) AS n, {a: 'ALGERIA'} AS m"))
+
+
 # -- the log scenario on events -------------------------------------------------------------------------------------
 
 
@@ -576,7 +733,6 @@ def logged(name: str, text: str, sql: str) -> None:
 
 
 logged("access_log_request", "MATCH (e:Event {user_id: 7}) RETURN e.event_id AS id, e.event_type AS layer ORDER BY id", "select event_id as id, event_type as layer from events where user_id = 7")
-logged("access_log_client", "MATCH (c:Customer)-[:PERFORMED]->(e:Event) WHERE e.event_id % 100 = 3 RETURN c.c_name AS client, e.event_id AS id", "select c_name as client, event_id as id from events join customer on c_custkey = user_id where event_id % 100 = 3")
 logged("access_log_clients", "MATCH (c:Customer)-[:PERFORMED]->(e:Event) RETURN c.c_name AS client, e.event_id AS id", "select c_name as client, event_id as id from events join customer on c_custkey = user_id")
 logged(
     "access_log_hops",

@@ -1,4 +1,4 @@
-"""A command line over a stored graph: python -m lattica.cli [--store DIR] [-c TEXT | -f FILE] [--mode table|csv|json|line]."""
+"""A command line over a stored graph: python -m lattica.cli [--store DIR | --live DIR] [-c TEXT | -f FILE] [--mode table|csv|json|line]."""
 
 from __future__ import annotations
 
@@ -91,15 +91,16 @@ def statements(text: str) -> list[str]:
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("--store")
+    parser.add_argument("--store", help="a saved graph to read")
+    parser.add_argument("--live", help="a store that every statement is committed to")
     parser.add_argument("-c", "--command")
     parser.add_argument("-f", "--file")
     parser.add_argument("--mode", choices=["table", "csv", "json", "line"], default="table")
     parser.add_argument("--no-timer", action="store_true")
     options = parser.parse_args(args)
     spark = SparkSession.builder.appName("lattica").getOrCreate()
-    graph = load_graph(spark, options.store) if options.store else PropertyGraph(spark)
-    shell = Shell(GraphSession(graph), options.mode, not options.no_timer)
+    session = GraphSession.stored(spark, options.live) if options.live else GraphSession(load_graph(spark, options.store) if options.store else PropertyGraph(spark))
+    shell = Shell(session, options.mode, not options.no_timer)
     if options.command or options.file:
         text = options.command or open(options.file, encoding="utf-8").read()
         return int(not all([shell.run(t) for t in statements(text)]))

@@ -27,6 +27,14 @@ class Tables(Mapping):
     def __init__(self, openers: Mapping[Any, Callable[[], DataFrame]]) -> None:
         self._openers, self._open = dict(openers), {}
 
+    @classmethod
+    def copied(cls, tables: Mapping[Any, DataFrame]) -> Tables:
+        """A copy that can be changed, and that opens no table by itself."""
+        return cls({k: (lambda k=k: tables[k]) for k in tables})
+
+    def __setitem__(self, key: Any, table: DataFrame) -> None:
+        self._openers[key], self._open[key] = (lambda: table), table
+
     def __getitem__(self, key: Any) -> DataFrame:
         if key not in self._open:
             self._open[key] = self._openers[key]()

@@ -26,7 +26,20 @@ def materialise(df: DataFrame) -> DataFrame:
     void = {f.name: f.dataType for f in df.schema if f.dataType.typeName() == "void"}
     df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void}).write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.parquet(path).withColumns({c: F.lit(None) for c in void}).select(*[f"`{c}`" for c in df.columns])
+    out = spark.read.parquet(path).withColumns({c: F.lit(None) for c in void}).select(*[f"`{c}`" for c in df.columns])
+    out._written_to = None if void else path
+    return out
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """All rows of materialised tables of one schema: one scan, however many they are."""
+    first = tables[0]
+    if all(getattr(t, "_written_to", None) and t.schema == first.schema for t in tables):
+        return first.sparkSession.read.schema(first.schema).parquet(*[t._written_to for t in tables])
+    out = first
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.typed import MISSING, Typed, common, equal, is_null
-from ..graph import label_set
+from ..graph import Tables, label_set
 from ..plans import syntax as s
 from .expressions import Scope, lower
 from .frame import col
@@ -67,7 +67,7 @@ def create_constants(m: Matcher, paths: tuple[s.PathPattern, ...], known: dict[s
             a, b = (ends[k + 1], ends[k]) if r.direction == "in" else (ends[k], ends[k + 1])
             edges.setdefault(r.types[0], []).append((edge_id, values, a, b))
             edge_id += 1
-    node_tables, edge_tables = dict(m.graph.nodes), dict(m.graph.edges)
+    node_tables, edge_tables = Tables.copied(m.graph.nodes), Tables.copied(m.graph.edges)
     for labels, rows in nodes.items():
         node_tables[labels] = appended(node_tables.get(labels), _table(m, rows, []))
     for kind, rows in edges.items():

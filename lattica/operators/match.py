@@ -40,6 +40,7 @@ class Matcher:
     unique: bool = False
     later: dict[str, set[str] | None] | None = None
     _rels: list[str] = field(default_factory=list)
+    _late: list[tuple[str, str, s.Node]] | None = None
     _where: s.Node | None = None
 
     def scope(self, frame: Frame, replaced: dict[s.Node, Typed] | None = None) -> Scope:
@@ -49,9 +50,13 @@ class Matcher:
 
     def match(self, frame: Frame, paths: tuple[s.PathPattern, ...], where: s.Node | None = None) -> Frame:
         todo, self._rels, self._where = list(paths), [], where
+        before, self._late = self._late, []
         while todo:
             at = next((k for k, p in enumerate(todo) if names_in(p) & set(frame.vars)), 0)
             frame = self.path(frame, todo.pop(at))
+        late, self._late = self._late, before
+        for name, key, value in late:  # properties that mention what was bound after them
+            frame = self.with_properties(frame, name, ((key, value),))
         if self.unique:
             own = [frame.vars[n].id for n in self._rels]
             for k, a in enumerate(own):
@@ -66,7 +71,8 @@ class Matcher:
             return shortest_path(self, frame, p)
         names = [n.name or self.names.fresh("n") for n in p.nodes]
         bound = [k for k, n in enumerate(names) if n in frame.vars]
-        rank = lambda k: (bool(p.nodes[k].properties), self.held_from(p, k), bool(p.nodes[k].labels), -k)
+        given = lambda k: bool(p.nodes[k].properties) and all(names_in(v) <= set(frame.vars) for _, v in p.nodes[k].properties)
+        rank = lambda k: (given(k), self.held_from(p, k), bool(p.nodes[k].labels), -k)
         start = bound[0] if bound else max(range(len(names)), key=rank)
         frame = self.node(frame, p.nodes[start], names[start])
         segments: dict[int, str] = {}
@@ -104,6 +110,9 @@ class Matcher:
 
     def with_properties(self, frame: Frame, name: str, properties: tuple[tuple[str, s.Node], ...]) -> Frame:
         for key, value in properties:
+            if self._late is not None and not names_in(value) <= set(frame.vars):
+                self._late.append((name, key, value))
+                continue
             test = condition(s.Binary("=", s.Property(s.Variable(name), key), value), self.scope(frame))
             frame = frame.keep(frame.df.filter(test))
         return frame

@@ -10,15 +10,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import NotImplementedFeature, QueryRuntimeError, SemanticError
-from ..lineage import materialise
+from ..lineage import materialise, together
 from ..plans import syntax as s
 from .expressions import names_in
 from .frame import Entity, Frame, Value, col, entity_frame
 from .match import MOST_HOPS, UNROLLED, Matcher
 
 
-#: Ends up to which a search keeps count of those that each source has reached.
-FEW_ENDS = 10_000
+#: Ends up to which a search keeps count of those that each source has reached; tables of what it has seen, after which
+#: they become one.
+FEW_ENDS, SEEN_TABLES = 10_000, 16
 
 
 def _levels(m: Matcher, start: DataFrame, p: s.RelPattern, vars_: dict, backwards: bool, own: str, want_nodes: bool, low: int, high: int | None):
@@ -72,10 +73,10 @@ def walk_edges(m: Matcher, frame: Frame, p: s.RelPattern, near: str, q: s.NodePa
     else:
         start, vars_ = frame.df.withColumn(f"{own}from", col(at)), frame.vars
     start = start.withColumn(f"{own}cur", col(f"{own}from"))
-    out = None
-    for depth, level in _levels(m, start, p, vars_, backwards, own, want_path, low, high):
-        if depth >= low:
-            out = level if out is None else out.unionAll(level)
+    levels = [level for depth, level in _levels(m, start, p, vars_, backwards, own, want_path, low, high) if depth >= low]
+    out = levels[0] if levels else None
+    if len(levels) > 1:
+        out = out.unionAll(together(levels[1:]))
     if out is None:
         out = start.withColumns({f"{own}ids": F.array().cast("array<bigint>"), f"{own}rels": F.array().cast("array<struct<_id:bigint>>")}).filter(F.lit(False))
         if want_path:
@@ -185,7 +186,7 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
         sources = ends.select(pair[0]).distinct()
         each = None
         on = [pair[0], f"{own}cur"]
-    ends = ends.withColumn(f"{own}cur", col(pair[1]))
+    ends = ends.select(*([] if each is not None else [pair[0]]), col(pair[1]).alias(f"{own}cur"), F.lit(True).alias(f"{own}hit"))
     start = sources.withColumn(f"{own}cur", col(pair[0]))
     edges, e, enter, leave = m.oriented(r, False, f"{own}e")
     if r.properties:
@@ -194,18 +195,27 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     rel_kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in e.fields]))
     kept = [f"{own}cur", f"{own}ids", f"{own}rels", f"{own}steps"]
     level = start.withColumns({f"{own}ids": F.array().cast("array<bigint>"), f"{own}rels": F.array().cast(rel_kind), f"{own}steps": F.array().cast("array<bigint>")})
-    seen = start.select(pair[0], f"{own}cur") if low <= 1 else None
+    seen = materialise(start.select(pair[0], f"{own}cur")) if low <= 1 else None
+    recent: list[DataFrame] = []  # levels that ``seen`` doesn't hold yet
     hits: list[DataFrame] = []
-    tracked = each is None or each <= FEW_ENDS  # else sources that have reached all ends are only looked for at the limit
+
+    def passed() -> DataFrame:
+        own_ = together(recent).select(pair[0], f"{own}cur") if recent else None
+        return seen if own_ is None else own_ if seen is None else seen.unionAll(own_)
+
+    def written(level: DataFrame) -> tuple[DataFrame, int, int]:
+        """The level with a mark where it arrives at an end; how many paths it holds, and how many arrive."""
+        level = materialise(level.join(ends, on, "left").select(pair[0], *kept, f"{own}hit"))
+        return level, *level.agg(F.count(F.lit(1)), F.count(f"{own}hit")).first()
 
     def open_(level: DataFrame) -> DataFrame:
         """Without the sources that have reached all their ends."""
         if not hits:
             return level
-        reached = _all(hits).join(ends, on).select(*pair).distinct()
+        reached = together(hits).filter(col(f"{own}hit")).select(pair[0], f"{own}cur").distinct()
         if each is None:
-            return level.join(ends.join(reached, pair, "left_anti").select(pair[0]).distinct(), pair[0], "left_semi")
-        done = reached.groupBy(pair[0]).agg(F.count("*").alias("__n")).filter(col("__n") == each)
+            return level.join(ends.join(reached, on, "left_anti").select(pair[0]).distinct(), pair[0], "left_semi")
+        done = reached.groupBy(pair[0]).agg(F.count(F.lit(1)).alias("__n")).filter(col("__n") == each)
         return level.join(done.select(pair[0]), pair[0], "left_anti")
 
     for depth in count():
@@ -215,32 +225,31 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
             step = level.join(edges, col(f"{own}cur") == col(enter)).filter(~F.array_contains(f"{own}ids", col(e.id)))
             step = step.withColumns({f"{own}cur": col(leave), f"{own}ids": F.array_append(f"{own}ids", col(e.id)), f"{own}rels": F.array_append(f"{own}rels", rel), f"{own}steps": F.array_append(f"{own}steps", col(leave))})
             level = step.select(pair[0], *kept)
-            if seen is not None:
-                level = level.join(seen, [pair[0], f"{own}cur"], "left_anti")
-            if p.shortest == "single" and seen is not None:
+            pruned = seen is not None or bool(recent)
+            if pruned:
+                level = level.join(passed(), [pair[0], f"{own}cur"], "left_anti")
+            if p.shortest == "single" and pruned:
                 first = Window.partitionBy(pair[0], f"{own}cur").orderBy(f"{own}ids")
                 level = level.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
-            level = materialise(level)
-            if level.isEmpty():
-                break
-            if high is None and depth > MOST_HOPS:
-                if open_(level).isEmpty():
-                    break
-                raise QueryRuntimeError(f"shortest paths go on after {MOST_HOPS} hops: give an upper bound")
-            if seen is not None:  # a union of what is written already
-                seen = seen.unionAll(level.select(pair[0], f"{own}cur"))
-        if depth < low:
-            continue
-        if seen is None:
-            seen = level.select(pair[0], f"{own}cur").distinct()
-        if not tracked:
-            hits.append(level.select(pair[0], *kept))
+        elif low > 0:
             continue
-        found = materialise(level.join(ends, on, "left_semi").select(pair[0], *kept))
-        if not found.isEmpty():
-            hits.append(found)
-            level = open_(level)
-    out = (_all(hits) if hits else level.filter(F.lit(False))).join(ends, on).select(*pair, *kept[1:])
+        level, paths, arrived = written(level)
+        if not paths:
+            break
+        if high is None and depth > MOST_HOPS:
+            if open_(level).isEmpty():
+                break
+            raise QueryRuntimeError(f"shortest paths go on after {MOST_HOPS} hops: give an upper bound")
+        if depth and (low <= 1 or depth >= low):
+            recent.append(level)
+            if len(recent) >= SEEN_TABLES:
+                seen, recent = materialise(passed()), []
+        if depth >= low and arrived:
+            hits.append(level)
+            if each is None or each <= FEW_ENDS:  # else sources that have reached all ends are only looked for at the limit
+                level = open_(level)
+    none = level.withColumn(f"{own}hit", F.lit(True)).filter(F.lit(False))
+    out = (together(hits).filter(col(f"{own}hit")) if hits else none).select(pair[0], col(f"{own}cur").alias(pair[1]), *kept[1:])
     if p.shortest == "single":
         first = Window.partitionBy(*pair).orderBy(f"{own}ids")
         out = out.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
@@ -254,13 +263,6 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     return new
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionAll(t)
-    return out
-
-
 def _hydrate(m: Matcher, frame: Frame, name: str, start: str, rels: str, steps: str, ids: str, pair: list[str]) -> Frame:
     """A path value from node ids: nodes are looked up once for all paths."""
     paths = frame.df.select(col(start).alias("__a"), col(ids).alias("__i"), F.posexplode(F.concat(F.array(col(start)), col(steps))).alias("__k", "__n")).distinct()

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SemanticError, TypeMismatchError
-from ..functions.aggregates import AGGREGATES
-from ..functions.typed import MISSING, Typed, is_list, is_null, is_whole
+from ..functions.aggregates import AGGREGATES, placed, share_of
+from ..functions.typed import MISSING, Typed, is_list, is_null, is_number, is_whole
 from ..plans import syntax as s
 from .expressions import Scope, has_aggregate, lower
-from .frame import Entity, Frame, Value, col
+from .frame import Entity, Frame, Value, col, null_safe
 from .match import Matcher
 
 
@@ -181,6 +181,7 @@ def grouped(m: Matcher, frame: Frame, exprs: list[s.Node], keys: list[str], name
                 if x not in known and not (isinstance(x, s.Variable) and x.name in aliases and x.name not in frame.vars):
                     key_of(x)
     aggregates: dict[s.Node, Column] = {}
+    places_: list[tuple[str, bool, float, str]] = []
     for e in [*exprs, *extra]:
         for x in s.walk(e):
             if isinstance(x, s.Call) and x.name in AGGREGATES and x not in known:
@@ -201,10 +202,18 @@ def grouped(m: Matcher, frame: Frame, exprs: list[s.Node], keys: list[str], name
                         rows[argument] = value.col
                     share = lower(x.args[1], Scope({}, m.params)) if len(x.args) > 1 else None
                     made = AGGREGATES[x.name](value, argument, x.distinct, share)
+                    if x.name == "percentiledisc" and share_of(share) is not None and is_number(value):
+                        places_.append((argument, x.distinct, share_of(share), column))
+                        known[x] = Typed(col(column), made.type)
+                        continue
                 aggregates[x] = made.col.alias(column)
                 known[x] = Typed(col(column), made.type)
     source = frame.df.select(*[c.alias(n) for n, c in rows.items()]) if rows else frame.df
-    df = source.groupBy(*map(col, by)).agg(*aggregates.values(), *kept)
+    made_ = [*aggregates.values(), *kept] or [F.count(F.lit(1)).alias(m.names.fresh("rows"))]
+    df = source.groupBy(*map(col, by)).agg(*made_)
+    for argument, distinct, share, column in places_:
+        found = placed(source, by, argument, distinct, share, column)
+        df = df.join(found, null_safe([col(c) for c in by], [col(f"{c}~") for c in by]), "left").drop(*[f"{c}~" for c in by])
     after: dict[str, Column] = {}
     results: dict[str, Typed] = {}
     for e, key, name in zip(exprs, keys, names, strict=True):

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import QueryRuntimeError, SemanticError, TypeMismatchError
 from ..functions.typed import Typed, common, is_list, is_node, is_null, is_rel, is_struct
-from ..graph import LabelSet, PropertyGraph, label_set
+from ..graph import LabelSet, PropertyGraph, Tables, label_set
 from ..lineage import materialise, numbered
 from ..plans import syntax as s
 from .expressions import Scope, lower, names_in
@@ -114,7 +114,7 @@ def replace_graph(m: Matcher, graph: PropertyGraph) -> Matcher:
 
 
 def _with_new(graph: PropertyGraph, made: list, rows: DataFrame) -> PropertyGraph:
-    nodes, edges = dict(graph.nodes), dict(graph.edges)
+    nodes, edges = Tables.copied(graph.nodes), Tables.copied(graph.edges)
     for kind, key, e in made:
         have = rows.filter(col(e.id).isNotNull()) if kind == "node" else rows.filter(col(e.column("_src")).isNotNull() & col(e.column("_dst")).isNotNull())
         new = have.select(*[col(e.column(f)).alias(f) for f, _ in e.fields if f not in ("_labels", "_type")])
@@ -354,10 +354,10 @@ def _apply(graph: PropertyGraph, frame: Frame, name: str, keys: list[str], add:
     kinds = dict(b.fields)
     if b.kind == "node":
         touched = [label_set(r[0]) for r in rows.select(b.column("_labels")).distinct().collect()]
-        tables = dict(graph.nodes)
+        tables = Tables.copied(graph.nodes)
     else:
         touched = [r[0] for r in rows.select(b.column("_type")).distinct().collect()]
-        tables = dict(graph.edges)
+        tables = Tables.copied(graph.edges)
     new = materialise(new) if len(touched) > 1 else new
     for t in touched:
         old = tables[t]
@@ -423,7 +423,7 @@ def delete(m: Matcher, frame: Frame, values: tuple[s.Node, ...], detach: bool) -
             rels.append(each.select(col("__r").getField("_id").alias("__id"), (F.col(marks) if isinstance(marks, str) else marks).alias("__mark")))
         elif not is_null(x) and not is_struct(x):
             raise TypeMismatchError("only nodes and relationships can be deleted")
-    edges, tables = dict(m.graph.edges), dict(m.graph.nodes)
+    edges, tables = Tables.copied(m.graph.edges), Tables.copied(m.graph.nodes)
     if rels:
         ids, types = _distinct(rels)
         for t in edges if None in types else types & set(edges):
@@ -431,9 +431,10 @@ def delete(m: Matcher, frame: Frame, values: tuple[s.Node, ...], detach: bool) -
     if nodes:
         ids, found = _distinct(nodes)
         sets = {label_set(x) for x in found}
-        for t, df in list(edges.items()):
+        for t in list(edges):
             if t in m.graph.ends and not sets & set(m.graph.ends[t]):
                 continue  # no edge of the type has such an end
+            df = edges[t]
             if not detach and (not df.join(ids, df["_src"] == ids["__id"], "left_semi").isEmpty() or not df.join(ids, df["_dst"] == ids["__id"], "left_semi").isEmpty()):
                 raise QueryRuntimeError("a node that has relationships can't be deleted: use DETACH DELETE")
             if detach:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
-from .errors import NotImplementedFeature, SemanticError
+from .errors import NotImplementedFeature, QueryRuntimeError, SemanticError
 from .graph import Constraint, PropertyGraph
 from .operators import write
 from .operators.bulk import create_constants, pinned
@@ -16,6 +18,8 @@ from .operators.project import project, result, unwind
 from .plans import syntax as s
 from .plans.parser import parse
 from .sources.csv import load_csv
+from .sources.export import export_cypher
+from .sources.store import GraphStore
 
 
 def usage(clauses: tuple[s.Node, ...]) -> dict[str, set[str] | None] | None:
@@ -80,19 +84,27 @@ class GraphSession:
     """A graph, and queries over it. Reads are lazy; a write makes a new version of the graph, which takes the old
     one's place once it is complete and keeps the constraints."""
 
-    def __init__(self, graph: PropertyGraph, relationship_uniqueness: bool = False) -> None:
-        self.graph, self.unique = graph, relationship_uniqueness
+    def __init__(self, graph: PropertyGraph, relationship_uniqueness: bool = False, store: GraphStore | None = None, marks: dict[str, Any] | None = None) -> None:
+        self.graph, self.unique, self.store, self.marks = graph, relationship_uniqueness, store, dict(marks or {})
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, relationship_uniqueness: bool = False) -> GraphSession:
+        """The graph that a folder keeps, to which every statement that writes commits what it has changed."""
+        store = GraphStore(spark, path)
+        graph, marks = store.load()
+        return cls(graph, relationship_uniqueness, store, marks)
 
     @property
     def spark(self):
         return self.graph.spark
 
-    def cypher(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
-        """The result of a statement; one without RETURN gives no columns and no rows."""
+    def cypher(self, text: str, params: dict[str, Any] | None = None, marks: dict[str, Any] | None = None) -> DataFrame:
+        """The result of a statement; one without RETURN gives no columns and no rows. ``marks`` are kept in the store
+        along with what the statement writes."""
         statement = parse(text)
         if isinstance(statement, s.CreateConstraint):
             c = Constraint(statement.label, statement.properties, statement.kind, statement.type_name)
-            self.graph = self.graph.with_constraint(c)
+            self.adopt(self.graph.with_constraint(c), marks)
             return self.nothing()
         graph, out = self.graph, None
         for k, q in enumerate(statement.queries):
@@ -105,11 +117,64 @@ class GraphSession:
             out = _union(out, df)
             if not statement.keep[k - 1]:
                 out = out.distinct()
-        self.graph = graph
+        self.adopt(graph, marks)
         return self.nothing() if out is None else out
 
     execute = cypher
 
+    def adopt(self, graph: PropertyGraph, marks: dict[str, Any] | None = None) -> None:
+        """A new version of the graph takes the old one's place, in the store too."""
+        if self.store is not None and (graph is not self.graph or marks):
+            now = self.marks | (marks or {})
+            graph = self.store.commit(graph, now)
+            self.marks = now
+        self.graph = graph
+
+    # -- single nodes and relationships, without a query's text -----------------------------------------------------
+
+    def create_node(self, labels: Iterable[str], properties: dict[str, Any] | None = None) -> int:
+        """The id of the node that is made."""
+        made = self.graph.next_node
+        self._create(s.PathPattern(None, (s.NodePattern(None, tuple(labels), _constants(properties)),), ()), {})
+        return made
+
+    def create_edge(self, kind: str, src: int, dst: int, properties: dict[str, Any] | None = None) -> int:
+        """The id of the relationship that is made between two nodes, which must exist."""
+        found = {r[0] for r in self.graph.node_table().filter(F.col("_id").isin(src, dst)).select("_id").collect()}
+        if missing := {src, dst} - found:
+            raise QueryRuntimeError(f"no node has the id {min(missing)}")
+        made = self.graph.next_edge
+        ends = s.NodePattern("a", (), ()), s.NodePattern("b", (), ())
+        self._create(s.PathPattern(None, ends, (s.RelPattern(None, (kind,), "out", False, None, None, _constants(properties)),)), {"a": src, "b": dst})
+        return made
+
+    def _create(self, path: s.PathPattern, known: dict[str, int]) -> None:
+        m = Matcher(self.graph, {}, s.Names())
+        create_constants(m, (path,), known)
+        self.adopt(m.graph)
+
+    def get_node(self, id_: int) -> dict[str, Any] | None:
+        """Id, labels and properties (those that it has) of a node."""
+        r = self.graph.node_table().filter(F.col("_id") == id_).first()
+        return None if r is None else {"id": r["_id"], "labels": r["_labels"], "properties": _given(r, ("_id", "_labels"))}
+
+    def get_edge(self, id_: int) -> dict[str, Any] | None:
+        r = self.graph.edge_table().filter(F.col("_id") == id_).first()
+        return None if r is None else {"id": r["_id"], "type": r["_type"], "src": r["_src"], "dst": r["_dst"], "properties": _given(r, ("_id", "_type", "_src", "_dst"))}
+
+    def match_nodes(self, label: str | None = None) -> DataFrame:
+        """All nodes, or those with a label: _id, _labels and properties."""
+        return self.graph.node_table([label] if label else [])
+
+    def node_count(self) -> int:
+        return self.graph.node_count()
+
+    def edge_count(self) -> int:
+        return self.graph.edge_count()
+
+    def export_cypher(self) -> str:
+        return export_cypher(self.graph)
+
     def nothing(self) -> DataFrame:
         return self.spark.range(0).select()
 
@@ -157,6 +222,14 @@ class GraphSession:
         return m.graph, None
 
 
+def _constants(properties: dict[str, Any] | None) -> tuple[tuple[str, s.Node], ...]:
+    return tuple((k, s.Literal(v)) for k, v in (properties or {}).items())
+
+
+def _given(row: Row, fixed: tuple[str, ...]) -> dict[str, Any]:
+    return {k: v for k, v in row.asDict().items() if k not in fixed and v is not None}
+
+
 def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     """By position, under the first one's names; void columns take the other's type."""
     names = [f"c{k}" for k in range(len(a.columns))]

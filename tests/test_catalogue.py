@@ -49,6 +49,42 @@ def test_plans(spark, data):
     assert "TakeOrderedAndProject" in plan(spark, data, "top_k")
 
 
+def scanned(spark, data, monkeypatch, text):
+    """The tables of the test graph that a statement reads or writes."""
+    from lattica import testgraph
+    from lattica.graph import Tables
+    from lattica.session import GraphSession
+
+    opened = []
+    real = Tables.__getitem__
+    monkeypatch.setattr(Tables, "__getitem__", lambda self, key: (opened.append(key[0] if isinstance(key, tuple) and len(key) == 1 else key), real(self, key))[1])
+    GraphSession(testgraph.load(spark, data)).cypher(text)
+    return set(opened)
+
+
+def test_writes_touch_only_the_tables_concerned(spark, data, monkeypatch):
+    run = lambda text: scanned(spark, data, monkeypatch, text)
+    every = {"Part", "Order", "Event", "Turn", "Document", "Label", "CONTAINS", "SUPPLIED_BY", "SUPPLIES", "FOLLOWED_BY", "LABELLED"}
+    assert not run("MATCH (n:Nation) WHERE n.n_nationkey < 5 SET n.x = 1") & (every | {"Customer"})
+    assert not run("MATCH (n:Nation)-[f:IN_REGION]->(:Region) DELETE f") & (every | {"Customer", "PLACED", "NEXT"})
+    assert not run("MATCH (l:Label) WHERE l.quality = 0 DETACH DELETE l") & {"Part", "Order", "Event", "Turn", "Customer", "CONTAINS", "PLACED", "NEXT", "FOLLOWED_BY"}
+
+
+def test_merge_ranks_nothing(spark, data):
+    """The first row of a key is found by an aggregation: no window, nothing in one task."""
+    from lattica.session import GraphSession
+    from lattica import testgraph
+
+    df = GraphSession(testgraph.load(spark, data)).cypher("MATCH (c:Customer) MERGE (s:Segment {name: c.c_mktsegment}) RETURN c.c_name AS c, s.name AS s")
+    text = df._jdf.queryExecution().toString()
+    assert "Window" not in text and "SinglePartition" not in text and len(df.collect()) == spark.read.parquet(f"{data}/customer.parquet").count()
+
+
+def test_shortest_paths_make_no_product(spark, data):
+    text = plan(spark, data, "shortest_path")
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
 def test_every_event_gets_its_client(spark, data, db):
     ids = [r.id for r in catalogue.QUERIES["access_log_clients"](spark, data).collect()]
     assert sorted(ids) == [x for (x,) in db.execute("select event_id from events join customer on c_custkey = user_id order by 1").fetchall()]
