@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,23 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     void = {f.name: f.dataType for f in df.schema if f.dataType.typeName() == "void"}
-    df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void}).write.parquet(path)
+    shown = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void})
+    shown.write.parquet(path)
     atexit.register(_delete, spark, path)
-    out = spark.read.parquet(path).withColumns({c: F.lit(None) for c in void}).select(*[f"`{c}`" for c in df.columns])
+    out = spark.read.schema(shown.schema).parquet(path).withColumns({c: F.lit(None) for c in void}).select(*[f"`{c}`" for c in df.columns])
     out._written_to = None if void else path
     return out
 
 
+def materialise_some(df: DataFrame, *marks: str) -> tuple[DataFrame, list[bool]]:
+    """``df`` materialised; whether it has rows, and for each mark whether it has rows where that column isn't null. That
+    is observed as the rows are written, so it costs no job of its own."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(marks)]))
+    got = seen.get
+    return out, [got["n"] > 0, *[got[f"n{k}"] > 0 for k in range(len(marks))]]
+
+
 def together(tables: list[DataFrame]) -> DataFrame:
     """All rows of materialised tables of one schema: one scan, however many they are."""
     first = tables[0]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import NotImplementedFeature, QueryRuntimeError, SemanticError
-from ..lineage import materialise, together
+from ..lineage import materialise, materialise_some, together
 from ..plans import syntax as s
 from .expressions import names_in
 from .frame import Entity, Frame, Value, col, entity_frame
@@ -53,8 +53,8 @@ def _levels(m: Matcher, start: DataFrame, p: s.RelPattern, vars_: dict, backward
             new[f"{own}nodes"] = F.array_append(f"{own}nodes", node.value().col)
         level = step.withColumns(new).select(*map(col, kept))
         if long_walk:
-            level = materialise(level)
-            if level.isEmpty():
+            level, (some,) = materialise_some(level)
+            if not some:
                 return
         if high is None and depth > MOST_HOPS:
             raise QueryRuntimeError(f"paths go on after {MOST_HOPS} hops: give an upper bound")
@@ -203,11 +203,6 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
         own_ = together(recent).select(pair[0], f"{own}cur") if recent else None
         return seen if own_ is None else own_ if seen is None else seen.unionAll(own_)
 
-    def written(level: DataFrame) -> tuple[DataFrame, int, int]:
-        """The level with a mark where it arrives at an end; how many paths it holds, and how many arrive."""
-        level = materialise(level.join(ends, on, "left").select(pair[0], *kept, f"{own}hit"))
-        return level, *level.agg(F.count(F.lit(1)), F.count(f"{own}hit")).first()
-
     def open_(level: DataFrame) -> DataFrame:
         """Without the sources that have reached all their ends."""
         if not hits:
@@ -233,8 +228,9 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
                 level = level.withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
         elif low > 0:
             continue
-        level, paths, arrived = written(level)
-        if not paths:
+        # the level with a mark where it arrives at an end
+        level, (some, arrived) = materialise_some(level.join(ends, on, "left").select(pair[0], *kept, f"{own}hit"), f"{own}hit")
+        if not some:
             break
         if high is None and depth > MOST_HOPS:
             if open_(level).isEmpty():

@@ -236,3 +236,30 @@ def test_long_statements(spark):
     assert g.graph.edge_count() == len(pairs)
     g.cypher("CREATE (:Person {gnId: 'node-1', n: 1.5}), (:Person {gnId: 5, n: null})")
     assert rows(g.cypher("MATCH (p:Person) WHERE p.n IS NOT NULL RETURN p.gnId AS g, p.n AS n")) == [("node-1", 1.5)]
+
+
+def test_bounds_at_and_beyond_the_default(spark, monkeypatch):
+    """A chain that ends at the bound, explicit bounds beyond it, and paths that go on."""
+    from lattica.operators import paths
+
+    monkeypatch.setattr(paths, "MOST_HOPS", 4)
+    q = graph(spark, {"D": [(k, {"n": k}) for k in range(7)]}, {"E": [(k, k + 1, {"w": 1}) for k in range(6)]}).cypher
+    assert rows(q("MATCH (a {n: 2})-[r:E*]->(b) RETURN size(r) AS l ORDER BY l")) == [(1,), (2,), (3,), (4,)]
+    assert rows(q("MATCH (a {n: 0})-[r:E*6..6]->(b) RETURN size(r) AS l")) == [(6,)]
+    assert rows(q("MATCH (a {n: 0})-[r:E*5..9]->(b) RETURN size(r) AS l ORDER BY l")) == [(5,), (6,)]
+    with pytest.raises(QueryRuntimeError):
+        q("MATCH (a {n: 1})-[r:E*]->(b) RETURN b").collect()
+
+
+def test_shortest_paths_over_some_relationships(spark):
+    q = graph(spark, {"D": [(k, {"n": k}) for k in range(4)]}, {"E": [(0, 3, {"w": 9}), (0, 1, {"w": 1}), (1, 2, {"w": 1}), (2, 3, {"w": 1})]}).cypher
+    assert rows(q("MATCH p = shortestPath((a {n: 0})-[:E* {w: 1}]->(b {n: 3})) RETURN length(p) AS l")) == [(3,)]
+    assert rows(q("MATCH p = shortestPath((a {n: 0})-[:E*]->(b)) RETURN b.n AS n, length(p) AS l ORDER BY n")) == [(1, 1), (2, 2), (3, 1)]
+    assert rows(q("MATCH (x {n: 3}) MATCH p = shortestPath((a {n: 0})-[:E*2..]->(x)) RETURN length(p) AS l")) == [(3,)]
+
+
+def test_properties_that_mention_what_is_bound_later(spark):
+    g = graph(spark, {"A": [(0, {"k": 1}), (1, {"k": 2})], "B": [(2, {"k": 1}), (3, {"k": 1})]}, {"E": [(0, 2, {"w": 1}), (1, 3, {"w": 1})]})
+    assert rows(g.cypher("MATCH (b:B {k: a.k})<-[:E]-(a:A) RETURN a.k AS k")) == [(1,)]
+    with pytest.raises(SemanticError):
+        g.cypher("MATCH (b:B {k: nothing.k}) RETURN b")

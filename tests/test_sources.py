@@ -85,3 +85,42 @@ def test_export_and_store(g, spark, tmp_path):
     assert export_cypher(PropertyGraph(spark)) == ""
     value = json_rows(g.cypher("MATCH (a:A)-[r:R]->(b) RETURN a, r, 1 AS x")).collect()[0][0]
     assert '"_properties":{"f":2.0' in value and '"_type":"R"' in value and value.endswith('"x":1}')
+
+
+def test_stream_into_a_store_survives_restarts(spark, tmp_path):
+    from lattica.streaming.ingest import merge_stream
+
+    folder, store, checkpoint = (str(tmp_path / x) for x in ("in", "store", "checkpoint"))
+    text = "UNWIND $rows AS row WITH row MERGE (k:Kind {name: row.kind}) ON CREATE SET k.n = 1 ON MATCH SET k.n = k.n + 1"
+
+    def ingest():
+        stream = spark.readStream.schema("kind string").parquet(folder)
+        session = GraphSession.stored(spark, store)  # each time the session of a driver that has just started
+        merge_stream(session, stream, text, checkpoint).awaitTermination()
+        return session
+
+    spark.createDataFrame([("a",), ("a",), ("b",)], "kind string").write.parquet(folder)
+    ingest()
+    spark.createDataFrame([("a",), ("c",)], "kind string").write.mode("append").parquet(folder)
+    ingest()
+    want = [("a", 3), ("b", 1), ("c", 1)]
+    assert rows(GraphSession.stored(spark, store).cypher("MATCH (k:Kind) RETURN k.name AS k, k.n AS n ORDER BY k")) == want
+    (tmp_path / "checkpoint" / "commits" / "1").unlink()  # lost after the graph was committed: the batch runs again
+    for f in (tmp_path / "checkpoint" / "commits").glob(".1*"):
+        f.unlink()
+    ingest()
+    assert rows(GraphSession.stored(spark, store).cypher("MATCH (k:Kind) RETURN k.name AS k, k.n AS n ORDER BY k")) == want
+
+
+def test_store_keeps_what_has_not_changed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    g = GraphSession.stored(spark, path)
+    g.cypher("CREATE (:A {x: 1}), (:B {x: 2})")
+    before = {x.name for x in (tmp_path / "store" / "tables").iterdir()}
+    g.cypher("MATCH (a:A) SET a.x = 5")
+    after = {x.name for x in (tmp_path / "store" / "tables").iterdir()}
+    assert len(before) == 2 and len(after - before) == 1
+    g.cypher("CREATE CONSTRAINT FOR (n:A) REQUIRE n.x IS UNIQUE")
+    again = GraphSession.stored(spark, path)
+    assert rows(again.cypher("MATCH (n) RETURN n.x AS x ORDER BY x")) == [(2,), (5,)] and again.graph.constraints == g.graph.constraints
+    assert again.create_node(["A"], {"x": 6}) == 2 and GraphSession.stored(spark, path).get_node(2)["properties"] == {"x": 6}
