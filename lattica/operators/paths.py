@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import NotImplementedFeature, QueryRuntimeError, SemanticError
+from ..graph import PropertyGraph, Tables
 from ..lineage import materialise, materialise_some, together
 from ..plans import syntax as s
 from .expressions import names_in
@@ -255,14 +256,18 @@ def shortest_path(m: Matcher, frame: Frame, p: s.PathPattern) -> Frame:
     if r.name:
         new = new.bind(new.df, **{r.name: Value(f"{own}rels", rel_kind)})
     if p.name:
-        new = _hydrate(m, new, p.name, m.id_of(frame, a), f"{own}rels", f"{own}steps", f"{own}ids", pair)
+        both = None if low == 0 else [m.end_sets(r, backwards) for backwards in (False, True)]
+        sets = [x for side in both for x in side] if both and None not in both else None
+        new = _hydrate(m, new, p.name, m.id_of(frame, a), f"{own}rels", f"{own}steps", f"{own}ids", sets)
     return new
 
 
-def _hydrate(m: Matcher, frame: Frame, name: str, start: str, rels: str, steps: str, ids: str, pair: list[str]) -> Frame:
-    """A path value from node ids: nodes are looked up once for all paths."""
+def _hydrate(m: Matcher, frame: Frame, name: str, start: str, rels: str, steps: str, ids: str, sets: list | None) -> Frame:
+    """A path value from node ids: nodes are looked up once for all paths, among those of the label sets if they are
+    known."""
+    graph = m.graph if sets is None else PropertyGraph(m.graph.spark, m.graph.nodes.only(sets.__contains__) if isinstance(m.graph.nodes, Tables) else {k: df for k, df in m.graph.nodes.items() if k in sets})
     paths = frame.df.select(col(start).alias("__a"), col(ids).alias("__i"), F.posexplode(F.concat(F.array(col(start)), col(steps))).alias("__k", "__n")).distinct()
-    df, e = entity_frame(m.graph.node_table(), "node", f"hop@{m.names.fresh('')}")
+    df, e = entity_frame(graph.node_table(), "node", f"hop@{m.names.fresh('')}")
     met = paths.join(df, col("__n") == col(e.id)).groupBy("__a", "__i").agg(F.sort_array(F.collect_list(F.struct(col("__k"), e.value().col.alias("v")))).alias("__v"))
     nodes = F.transform("__v", lambda x: x.getField("v"))
     column = f"{name}@{m.names.fresh('path')}"
