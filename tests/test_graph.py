@@ -100,6 +100,18 @@ def test_shortest_paths(spark):
         q("MATCH p = shortestPath((a)-[:E]->(b)) RETURN p")
 
 
+def test_paths_tell_relationships_of_different_types_apart(spark):
+    tables = {"D": spark.createDataFrame([(k,) for k in range(3)], "_id long")}
+    links = {t: spark.createDataFrame([(7, a, a + 1)], "_id long, _src long, _dst long") for a, t in enumerate("EF")}  # one id, two types
+    q = GraphSession(PropertyGraph.from_dataframes(spark, tables, links), relationship_uniqueness=True).cypher
+    for kind in ("shortestPath", "allShortestPaths"):
+        for types in (":E|F", ""):
+            assert rows(q(f"MATCH p = {kind}((a)-[{types}*..2]->(b)) WHERE id(a) = 0 AND id(b) = 2 RETURN length(p) AS l, [r IN relationships(p) | type(r)] AS t")) == [(2, ["E", "F"])]
+    assert rows(q("MATCH p = (a)-[:E|F*2]->(b) RETURN id(a) AS a, id(b) AS b, length(p) AS l")) == [(0, 2, 2)]
+    assert rows(q("MATCH (a)-[r*5..]-(b) RETURN id(a) AS a")) == []
+    assert rows(q("MATCH (a)-[:E]->()-[:F]->(b) RETURN id(a) AS a, id(b) AS b")) == [(0, 2)]
+
+
 def test_shortest_paths_beyond_the_default_bound(spark, monkeypatch):
     from lattica.operators import paths
 
