@@ -48,7 +48,7 @@ def numbered_alike(data, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["shortest_path_by_property"])
+@pytest.mark.parametrize("name", ["shortest_path_by_property", "all_shortest_paths"])
 def test_paths_over_types_that_are_numbered_alike(spark, data, tmp_path, name):
     con = numbered_alike(data, tmp_path)
     assert [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()] == con.execute(catalogue.ORACLE[name]).fetchall()
