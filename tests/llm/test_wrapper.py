@@ -1,5 +1,7 @@
 import html
+import pickle
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -72,6 +74,17 @@ def test_common_subsequences_are_longest(monkeypatch):
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
+def test_pages_are_found_in_their_expression_as_by_the_common_subsequence():
+    import random
+
+    draw = random.Random(2)
+    for _ in range(600):
+        a = [draw.choice("abcdef") for _ in range(draw.randrange(40))]
+        b = sorted(draw.sample(range(len(a)), draw.randrange(len(a) + 1)))
+        b = [a[i] for i in b] if draw.random() < 0.7 else [draw.choice("abcdefg") for _ in b]
+        assert wrapper.embedded(a, b, wrapper.places_of(a)) == wrapper.common(a, b)
+
+
 def test_every_page_of_a_host_counts(spark):
     """Blocks that differ from page to page, and a second template that few pages have."""
     rows = [(k, "http://b.example/", f"<div class=node-{k}><p>Story {k} {'words ' * 30}</p></div>") for k in range(60)]
@@ -141,3 +154,31 @@ def test_odd_pages_and_clashing_columns(spark):
     got = sorted(((r.page_id or 0, r.text) for r in wrapper.main_text(df).collect()))
     whole = " ".join(f"par {i} & more" for i in range(30_000))
     assert got == [(0, "b"), (1, "a"), (2, whole), (2, whole), (4, "")]
+
+
+def many_templates(templates, blocks):
+    """Pairs of pages under class names of their own; only one page of a pair names its content."""
+    def one(k):
+        j = k // 2
+        rest = "".join(f"<div class=t{j}-{i}><i>go {i}</i></div>" for i in range(blocks))
+        return f"<body><section class=t{j}><i>{'Top words ' * 9}{k}</i></section><div class=t{j} {'' if k % 2 else 'id=content'}><p>Story {k}</p></div>{rest}</body>"
+
+    return [(k, "http://f.example/", one(k)) for k in range(2 * templates)]
+
+
+def test_expressions_forget_nothing(spark):
+    """A host of 50 templates, each on two pages: some 6,000 nodes, most of them on two pages."""
+    rows = many_templates(50, 60)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    known = wrapper.Wrapper(*pickle.loads(zlib.decompress(wrapper.wrappers(df).collect()[0].wrapper)))
+    assert len(known.keys) == len(wrapper.infer([h for _, _, h in rows])) > 6000
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert got == {k: f"Story {k}" for k, _, _ in rows}
+
+
+def test_named_content_stays_however_templates_are_aligned(spark, monkeypatch):
+    """Expressions that are handed on after few nodes: a template's slots may stand apart in the host's."""
+    monkeypatch.setattr(wrapper, "HELD", 700)
+    rows = many_templates(20, 30)
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert all(got[k] == f"Story {k}" for k, _, _ in rows if not k % 2)
