@@ -112,6 +112,15 @@ def test_paths_tell_relationships_of_different_types_apart(spark):
     assert rows(q("MATCH (a)-[:E]->()-[:F]->(b) RETURN id(a) AS a, id(b) AS b")) == [(0, 2)]
 
 
+def test_all_shortest_paths_to_open_ends_over_types_numbered_alike(spark):
+    """Both directions and ends that aren't bound, as all_shortest_paths has them; every F edge has its E edge's number."""
+    tables = {"R": spark.createDataFrame([(0,)], "_id long"), "N": spark.createDataFrame([(10,), (11,)], "_id long"), "S": spark.createDataFrame([(k,) for k in range(20, 24)], "_id long")}
+    links = {"E": spark.createDataFrame([(1, 10, 0), (2, 11, 0)], "_id long, _src long, _dst long"), "F": spark.createDataFrame([(1, 20, 10), (2, 21, 11), (3, 22, 10), (4, 22, 11)], "_id long, _src long, _dst long")}
+    q = GraphSession(PropertyGraph.from_dataframes(spark, tables, links)).cypher
+    got = rows(q("MATCH p = allShortestPaths((a:R)-[:E|F*..3]-(b:S)) RETURN id(b) AS b, [n IN nodes(p) | id(n)] AS n, length(p) AS l"))
+    assert sorted(got) == [(20, [0, 10, 20], 2), (21, [0, 11, 21], 2), (22, [0, 10, 22], 2), (22, [0, 11, 22], 2)]
+
+
 def test_shortest_paths_beyond_the_default_bound(spark, monkeypatch):
     from lattica.operators import paths
 
